@@ -1,3 +1,3 @@
 """Imports every family, which fills the registry."""
 
-from suite import relational, scalars  # noqa: F401
+from suite import lineage, recipes, relational, scalars, sources  # noqa: F401
