@@ -1,3 +1,3 @@
 """Imports every family, which fills the registry."""
 
-from suite import lineage, recipes, relational, scalars, sources  # noqa: F401
+from suite import analysis, charts, lineage, logs, recipes, relational, scalars, sources, streams  # noqa: F401

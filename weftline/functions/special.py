@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Abramowitz & Stegun 7.1.26, |error| < 1.5e-7.
 ERF_P = 0.3275911
@@ -113,7 +114,7 @@ def _student_p(t: float, dof: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided Student p-value; meant for results of a few rows."""
     return pd.Series([_student_p(a, b) for a, b in zip(t, dof)], dtype="float64")

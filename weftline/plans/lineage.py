@@ -3,7 +3,7 @@
 nodes(name, kind, status, command, ...) and edges(child, parent).  Walks go one
 generation per round: a join of the frontier with the edges, less what was seen.
 Each round is written to the shared folder, so the plan stays short and a lost
-executor costs one round at most.
+executor costs one round at most; a small round stays a local relation instead.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import durable
+from weftline.session import settle
 
 _PART = r"(?:\"[^\"]+\"|`[^`]+`|[A-Za-z_]\w*)"
 # atomic: once a whole name is read it is not shortened to please what follows
@@ -69,12 +69,17 @@ def table_refs(queries: DataFrame, id: str, sql: str) -> DataFrame:
         ),
         lambda name: F.lower(_unquoted(name)),
     )
-    refs = F.filter(
-        F.transform(F.concat(starts, after_comma), lambda name: _unquoted(name)),
-        lambda name: (~F.array_contains(defined, F.lower(name)))
-        & (~F.lower(name).isin("select", "values", "lateral", "unnest", "table")),
+    # one row per reference before the WITH names are taken out: inside a lambda
+    # the list of names would be extracted again for every reference
+    each = text.select(
+        "id",
+        F.when(F.col("t").rlike(r"(?i)\bwith\b"), defined).alias("_defined"),
+        F.explode(F.array_distinct(F.concat(starts, after_comma))).alias("_ref"),
     )
-    return text.select("id", F.explode(F.array_distinct(refs)).alias("ref")).withColumnRenamed("id", id)
+    named = each.select("id", "_defined", _unquoted(F.col("_ref")).alias("ref"))
+    is_table = ~F.lower("ref").isin("select", "values", "lateral", "unnest", "table")
+    shown = F.coalesce(~F.array_contains("_defined", F.lower("ref")), F.lit(True))
+    return named.where(is_table & shown).select(F.col("id").alias(id), "ref").distinct()
 
 
 def created_table(queries: DataFrame, id: str, sql: str) -> DataFrame:
@@ -102,19 +107,19 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
     step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where(
         "_from is not null and _to is not null"
     )
-    seen = spark.createDataFrame([(r,) for r in roots], f"node {kind}").select("node", F.lit(0).alias("depth"))
-    frontier, depth = seen, 0
+    start = spark.createDataFrame([(r,) for r in roots], f"node {kind}").select("node", F.lit(0).alias("depth"))
+    frontier, _ = settle(start.distinct())
+    seen, depth = frontier, 0
     while True:
         depth += 1
         reached = step.join(frontier, F.col("_from") == F.col("node"), "left_semi").select(F.col("_to").alias("node"))
-        fresh = durable(
-            reached.distinct().join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
-        )
-        if fresh.isEmpty():
+        fresh = reached.distinct().join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
+        frontier, count = settle(fresh)
+        if count == 0:
             return seen.where("depth > 0")
-        seen, frontier = seen.union(fresh), fresh
+        seen = seen.union(frontier)
         if depth % 16 == 0:
-            seen = durable(seen)
+            seen, _ = settle(seen)
 
 
 def descendants(edges: DataFrame, root, *more) -> DataFrame:
@@ -160,7 +165,7 @@ def clone_subtree(
 
     A ``command`` column is rewritten to the new names, so that copies run.
     """
-    inside = durable(_subtree(nodes, edges, root))
+    inside, _ = settle(_subtree(nodes, edges, root))
     member = inside.select(F.col("node").alias("_in"))
     copied = nodes.join(inside, nodes["name"] == inside["node"], "left_semi")
     inner = edges.join(member, F.col("child") == F.col("_in"), "left_semi")
@@ -208,11 +213,12 @@ def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.array("node").alias("path"), "node", F.lit(0).alias("depth"), note.alias("note")
     )
     step = known.where("_p is not null").select(F.col("child").alias("_c"), "parent").distinct()
-    level = durable(start)
-    found = [level]
+    level, _ = settle(start)
+    listed, rounds = level, 0
     while True:
+        rounds += 1
         below = level.join(step, level["node"] == step["parent"]).where(~F.array_contains("path", F.col("_c")))
-        level = durable(
+        level, count = settle(
             below.select(
                 F.array_append("path", F.col("_c")).alias("path"),
                 F.col("_c").alias("node"),
@@ -220,17 +226,11 @@ def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 F.lit("").alias("note"),
             )
         )
-        if level.isEmpty():
+        if count == 0:
             break
-        found.append(level)
-        if len(found) % 16 == 0:
-            merged = found[0]
-            for part in found[1:]:
-                merged = merged.union(part)
-            found = [durable(merged)]
-    listed = found[0]
-    for part in found[1:]:
-        listed = listed.union(part)
+        listed = listed.union(level)
+        if rounds % 16 == 0:
+            listed, _ = settle(listed)
     lost = names.join(listed.select("node").distinct(), "node", "left_anti").select(
         F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit("cycle").alias("note")
     )

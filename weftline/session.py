@@ -21,6 +21,9 @@ DEFAULTS = {
 }
 
 
+SMALL_ROWS = 10_000
+
+
 def build_session(app: str = "weftline", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -62,6 +65,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(df: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, int | None]:
+    """Cut the lineage of one round of an iteration.
+
+    A result of at most ``small_rows`` rows becomes a local relation, whose size
+    Spark knows and may broadcast, and its row count is returned.  A larger one
+    is written to the shared folder, with None for the count.
+    """
+    head = df.limit(small_rows + 1).toArrow()
+    if head.num_rows <= small_rows:
+        return df.sparkSession.createDataFrame(head, df.schema), head.num_rows
+    return durable(df), None
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
