@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from suite.registry import register, register_sql
 from weftline.operators import relational as rel
-from weftline.operators import stats
+from weftline.functions.names import micros
+from weftline.functions.times import epoch_micros
+from weftline.operators import stats, windows
+from weftline.plans.ordered import framed, framed_range
 from weftline.session import load
 
 # --- projection ------------------------------------------------------------------
@@ -316,6 +319,64 @@ def agg10(spark, folder):
 
 # --- windows --------------------------------------------------------------------------------
 
+_RANKS = """SELECT o_orderkey, cast(row_number() OVER w AS BIGINT) AS row_number, cast(rank() OVER p AS BIGINT) AS rank,
+              cast(dense_rank() OVER p AS BIGINT) AS dense_rank, round(percent_rank() OVER p, 9) AS percent_rank,
+              round(cume_dist() OVER p, 9) AS cume_dist, cast(ntile(4) OVER w AS BIGINT) AS ntile
+       FROM orders
+       WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey),
+              p AS (PARTITION BY o_custkey ORDER BY o_orderpriority)"""
+
+
+@register("win01_ranks", _RANKS)
+def win01(spark, folder):
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    out = windows.ranks(orders, ["o_custkey"], ["o_orderpriority"], ["o_orderkey"], ntile=4)
+    return out.select(
+        "o_orderkey", "row_number", "rank", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"),
+        F.round("cume_dist", 9).alias("cume_dist"), "ntile",
+    )
+
+
+@register(
+    "win02_neighbours_ends",
+    """SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice, 2) OVER w AS next2,
+              first_value(o_orderkey) OVER v AS first_value, last_value(o_orderkey) OVER v AS last_value,
+              nth_value(o_orderkey, 2) OVER v AS nth_value
+       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey),
+            v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+)
+def win02(spark, folder):
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    order = ["o_orderdate", "o_orderkey"]
+    near = windows.neighbours(orders, ["o_custkey"], order, {"prev": ("o_totalprice", -1), "next2": ("o_totalprice", 2)})
+    out = windows.ends(near, ["o_custkey"], order, "o_orderkey", nth=2)
+    return out.select("o_orderkey", "prev", "next2", "first_value", "last_value", "nth_value")
+
+
+@register(
+    "win03_framed",
+    """SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS ma,
+              max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead,
+              count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_n
+       FROM events""",
+)
+def win03(spark, folder):
+    events = load(spark, folder, "events").select("event_id", "event_type", "ts", "value")
+    near = framed(
+        events,
+        ["event_type"],
+        ["ts", "event_id"],
+        lambda w: {"ma": F.avg("value").over(w.rowsBetween(-4, 0)), "ahead": F.max("value").over(w.rowsBetween(1, 3))},
+        back=4,
+        ahead=3,
+    )
+    ticked = near.withColumn("_tick", epoch_micros("ts"))
+    out = framed_range(
+        ticked, ["event_type"], "_tick", lambda w: {"day_n": F.count(F.lit(1)).over(w)}, back=micros("1 day")
+    )
+    return out.select("event_id", F.round("ma", 6).alias("ma"), "ahead", "day_n")
+
+
 register_sql(
     "win01_ranking",
     "orders",

@@ -47,14 +47,14 @@ def install(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION strftime(ts TIMESTAMP_NTZ, fmt STRING) RETURNS STRING "
         f"RETURN date_format(ts, {_replaced('fmt')})"
     )
+    # wall-clock arithmetic: no session time zone takes part
+    origin = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+    seconds = f"cast(cast(ts - {origin} AS INTERVAL SECOND) AS DECIMAL(18,6))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION epoch(ts TIMESTAMP_NTZ) RETURNS DOUBLE RETURN cast({seconds} AS DOUBLE)")
+    micros = f"cast({seconds} * 1000000 AS BIGINT)"
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION epoch(ts TIMESTAMP_NTZ) RETURNS DOUBLE "
-        "RETURN unix_micros(cast(ts AS TIMESTAMP)) / 1e6D"
-    )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION time_bucket(seconds BIGINT, ts TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ "
-        "RETURN cast(timestamp_micros(unix_micros(cast(ts AS TIMESTAMP)) "
-        "- pmod(unix_micros(cast(ts AS TIMESTAMP)), seconds * 1000000L)) AS TIMESTAMP_NTZ)"
+        "CREATE OR REPLACE TEMPORARY FUNCTION time_bucket(width BIGINT, ts TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ "
+        f"RETURN timestampadd(MICROSECOND, {micros} - pmod({micros}, width * 1000000L), {origin})"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION json_extract_string(doc STRING, path STRING) RETURNS STRING "

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from datetime import timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _WIDTH = re.compile(r"^\s*(\d+)\s*(microsecond|millisecond|second|minute|hour|day|week)s?\s*$", re.IGNORECASE)
 
 # Microseconds per unit.
@@ -36,3 +40,9 @@ def micros(width: str | timedelta) -> int:
     if out <= 0:
         raise ValueError("a width must be positive")
     return out
+
+
+def whole_numbers(values: Sequence[int]) -> Column:
+    """A literal array of many whole numbers, sent as one text and folded by
+    the optimizer; one literal per element would be slow to build and analyse."""
+    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast("array<bigint>")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.names import micros
+from weftline.functions.times import epoch_micros, kind_of
 from weftline.operators.stats import _attach
-from weftline.operators.timeseries import epoch_micros
 from weftline.plans.ordered import framed, scan
 
 
@@ -38,7 +38,8 @@ def gaps(
     near = framed(
         seen, by, ["_t"], lambda w: {"gap_end": F.lead("_t").over(w)}, ahead=1, hot_rows=hot_rows
     )
-    length = epoch_micros("gap_end") - epoch_micros("_t")
+    kind = kind_of(df, ts)
+    length = epoch_micros("gap_end", kind) - epoch_micros("_t", kind)
     missing = F.ceil(length / F.lit(step)).cast("bigint") - 1
     return near.where(length > step).select(*by, F.col("_t").alias("gap_start"), "gap_end", missing.alias("missing"))
 
@@ -126,6 +127,15 @@ def coerce_report(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 # Candidate types, narrowest first.
 CANDIDATE_TYPES = ("bigint", "double", "timestamp_ntz", "boolean")
 
+# What a text must look like for a cast to have a chance.  A cast
+# that fails raises and catches an exception inside Spark, for every row.
+_PLAUSIBLE = {
+    "bigint": r"^[+-]?[0-9]+$",
+    "double": r"^[0-9+\-.eEdDfFiInNaAtTyY]+$",
+    "timestamp_ntz": r"^[+-]?[0-9]{4}",
+    "boolean": r"(?i)^(t|true|y|yes|1|f|false|n|no|0)$",
+}
+
 
 def suggest_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column_name, values, suggested_type): the narrowest type that every
@@ -138,7 +148,8 @@ def suggest_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         cells.append(F.count(text).alias(f"_n{i}"))
         pick = F.when(F.col(f"_n{i}") == 0, F.lit("string"))
         for j, kind in enumerate(CANDIDATE_TYPES):
-            cells.append(F.count(text.try_cast(kind)).alias(f"_t{i}_{j}"))
+            fit = F.when(text.rlike(_PLAUSIBLE[kind]), text.try_cast(kind))
+            cells.append(F.count(fit).alias(f"_t{i}_{j}"))
             pick = pick.when(F.col(f"_t{i}_{j}") == F.col(f"_n{i}"), F.lit(kind))
         rows.append(
             F.struct(

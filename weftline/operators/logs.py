@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.ordered import rank_rows
+from weftline.session import durable, spread
 
 # What counts as a variable token, tried in this order.
 MASKS = (
@@ -25,12 +26,21 @@ WILDCARD = "<*>"
 _ANY_MASK = "|".join(f"(?:{pattern})" for _, pattern in MASKS)
 
 
-def skeleton(line: Column) -> Column:
-    """The line with its variable tokens masked and blanks collapsed."""
-    out = line
-    for name, pattern in MASKS:
-        out = F.regexp_replace(out, pattern, name)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+# A character each mask cannot do without, as a pattern.
+_NEEDS = {"<quoted>": "[\"']", "<uuid>": "-", "<ip>": "[0-9]", "<path>": "/", "<hex>": "[0-9]", "<num>": "[0-9]"}
+
+
+def with_skeleton(df: DataFrame, line: str, name: str = "skeleton") -> DataFrame:
+    """Adds the line with its variable tokens masked and blanks collapsed.
+
+    A mask only runs on lines that hold a character it needs.  The steps are
+    separate projections, since each one uses the one before twice.
+    """
+    out = spread(df).withColumn(name, F.col(line))
+    for mask, pattern in MASKS:
+        hit = F.regexp_replace(F.col(name), pattern, mask)
+        out = out.withColumn(name, F.when(F.col(line).rlike(_NEEDS[mask]), hit).otherwise(F.col(name)))
+    return out.withColumn(name, F.trim(F.regexp_replace(F.col(name), r"\s+", " ")))
 
 
 def _shape(skel: str = "skeleton") -> list[Column]:
@@ -56,42 +66,53 @@ def _pattern() -> Column:
     return F.when(F.col("_wild").isNull(), F.col("skeleton")).otherwise(F.array_join(blanked, " "))
 
 
-def template_map(df: DataFrame, line: str, distinct_limit: int = 8) -> DataFrame:
-    """(skeleton, pattern, n, example) for every distinct skeleton."""
-    skeletons = (
-        df.where(F.col(line).isNotNull())
-        .select(skeleton(F.col(line)).alias("skeleton"), F.col(line).alias("_line"))
+def _skeleton_counts(df: DataFrame, line: str) -> DataFrame:
+    """(skeleton, n, example, shape): the one pass over the lines.
+
+    Written out, because merging reads it twice and masking is the dear part.
+    """
+    lines = df.where(F.col(line).isNotNull()).select(F.col(line).alias("_line"))
+    counted = (
+        with_skeleton(lines, "_line")
         .groupBy("skeleton")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_line").alias("example"))
-        .select("*", *_shape())
     )
+    return durable(counted.select("*", *_shape()))
+
+
+def _merged(skeletons: DataFrame, distinct_limit: int) -> DataFrame:
     wild = _wildcards(skeletons, distinct_limit)
     return skeletons.join(wild, ["_len", "_first"], "left").select("skeleton", _pattern().alias("pattern"), "n", "example")
 
 
-def log_templates(df: DataFrame, line: str, distinct_limit: int = 8, *, hot_rows: int | None = None) -> DataFrame:
-    """(template_id, pattern, count, example), ids by count desc then pattern."""
-    merged = template_map(df, line, distinct_limit).groupBy("pattern").agg(
-        F.sum("n").alias("count"), F.min("example").alias("example")
-    )
+def _numbered(mapping: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    merged = mapping.groupBy("pattern").agg(F.sum("n").alias("count"), F.min("example").alias("example"))
     numbered = rank_rows(merged, [F.desc("count"), F.asc("pattern")], "template_id", hot_rows)
     return numbered.select("template_id", "pattern", "count", "example")
 
 
+def template_map(df: DataFrame, line: str, distinct_limit: int = 8) -> DataFrame:
+    """(skeleton, pattern, n, example) for every distinct skeleton."""
+    return _merged(_skeleton_counts(df, line), distinct_limit)
+
+
+def log_templates(df: DataFrame, line: str, distinct_limit: int = 8, *, hot_rows: int | None = None) -> DataFrame:
+    """(template_id, pattern, count, example), ids by count desc then pattern."""
+    return _numbered(template_map(df, line, distinct_limit), hot_rows)
+
+
 def log_records(
-    df: DataFrame, line: str, templates: DataFrame | None = None, distinct_limit: int = 8
+    df: DataFrame, line: str, templates: DataFrame | None = None, distinct_limit: int = 8, *, hot_rows: int | None = None
 ) -> DataFrame:
     """Every line with its ``template_id`` and the masked values it carried.
 
     ``templates`` is the result of ``log_templates`` over the same lines; tokens
     blanked by merging are part of ``values`` too, in line order.
     """
-    mapping = template_map(df, line, distinct_limit).select("skeleton", "pattern")
-    ids = (templates if templates is not None else log_templates(df, line, distinct_limit)).select(
-        "template_id", "pattern"
-    )
-    keyed = mapping.join(ids, "pattern")
-    masked = df.where(F.col(line).isNotNull()).withColumn("skeleton", skeleton(F.col(line)))
+    mapping = template_map(df, line, distinct_limit)
+    ids = (templates if templates is not None else _numbered(mapping, hot_rows)).select("template_id", "pattern")
+    keyed = mapping.select("skeleton", "pattern").join(ids, "pattern")
+    masked = with_skeleton(df.where(F.col(line).isNotNull()), line)
     joined = masked.join(keyed, "skeleton")
 
     # tokens of the raw line, a masked value staying one token

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.names import micros
+from weftline.functions.times import epoch_micros, kind_of
 from weftline.plans.ordered import scan
 
 PIVOT_VALUES = 10_000
@@ -54,7 +55,7 @@ def asof_join(
     for key in by:
         usable = usable & F.col(key).isNotNull()
     if tolerance is not None:
-        gap = F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_hit._rt").cast("timestamp"))
+        gap = epoch_micros("_t", kind_of(left, on)) - epoch_micros("_hit._rt", kind_of(right, right_on))
         usable = usable & (gap <= micros(tolerance))
     return matched.where(F.col("_side") == 1).select(
         "_left.*", *[F.when(usable, F.col("_hit")[c]).alias(names[c]) for c in payload]
@@ -69,8 +70,9 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     size that occurs.  Numeric or timestamp columns.
     """
     left, right = points, ranges
-    if dict(points.dtypes)[point].startswith("timestamp"):
-        tick = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    kind = kind_of(points, point)
+    if kind.startswith("timestamp"):
+        tick = lambda c: epoch_micros(c, kind)
     else:
         tick = lambda c: F.floor(F.col(c)).cast("bigint")
     span = tick(high) - tick(low)

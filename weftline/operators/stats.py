@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.ordered import _match, largest_key, scan
-from weftline.plans.ordered import HOT_ROWS
+from weftline.functions.names import whole_numbers
+from weftline.plans.ordered import HOT_ROWS, _match, largest_key, scan
 
 _INLINE_QUANTILES = 12
+_GRID = 1 << 12
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = (), n: str = "n") -> DataFrame:
@@ -72,25 +73,36 @@ def percentiles(
             cells += [
                 F.max(F.when(covers(F.floor(at)), F.col("_x"))).alias(f"_lo{i}"),
                 F.max(F.when(covers(F.ceil(at)), F.col("_x"))).alias(f"_hi{i}"),
-                F.max(at - F.floor(at)).alias(f"_fr{i}"),
             ]
-        wide = counted.groupBy(*by).agg(*cells)
+        wide = counted.groupBy(*by).agg(F.max("total").alias("total"), *cells)
         points = F.array(
             *[
                 F.struct(
                     F.lit(p).alias("p"),
-                    (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias("value"),
+                    (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(F.lit(p)) - F.floor(rank(F.lit(p))))).alias("value"),
                 )
                 for i, p in enumerate(ps)
             ]
         )
         return wide.select(*by, F.explode(points).alias("_z")).select(*by, "_z.p", "_z.value")
 
-    wanted = F.filter(
-        F.lit(ps), lambda p: covers(F.floor(rank(p))) | covers(F.ceil(rank(p)))
-    )
+    # how many of the ps lie in the grid cells below each edge: two look-ups tell
+    # whether a row can hold any of them, and few rows do
+    below = [0] * (_GRID + 2)
+    for p in ps:
+        below[int(p * _GRID) + 1] += 1
+    for i in range(1, len(below)):
+        below[i] += below[i - 1]
+    edges = whole_numbers(below)
+
+    def edge(at: Column, more: int) -> Column:
+        cell = F.floor(at / F.greatest(F.col("total") - 1, F.lit(1)) * F.lit(float(_GRID))) + F.lit(more)
+        return F.least(F.greatest(cell, F.lit(0)), F.lit(_GRID + 1)).cast("int")
+
+    near = (F.col("total") == 1) | (edges[edge(F.col("upto"), 1)] > edges[edge(before - 1, 0)])
+    wanted = F.filter(F.lit(ps), lambda p: covers(F.floor(rank(p))) | covers(F.ceil(rank(p))))
     at = rank(F.col("p"))
-    hits = counted.withColumn("p", F.explode(wanted))
+    hits = counted.where(near).withColumn("p", F.explode(wanted))
     return (
         hits.groupBy(*by, "p")
         .agg(

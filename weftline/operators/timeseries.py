@@ -8,25 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.names import micros
+from weftline.functions.times import epoch_micros, from_micros, kind_of
 from weftline.operators.spectrum import power_spectrum
 from weftline.plans.ordered import framed, framed_range
 
 
-def epoch_micros(ts: str | Column) -> Column:
-    """Microseconds since 1970 of a timestamp column, as a bigint."""
-    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
-
-
-def from_micros(value: Column, like: str) -> Column:
-    """Back to a timestamp of the type ``like``."""
-    return F.timestamp_micros(value).cast(like)
-
-
-def bucket_start(ts: str, width: str, like: str = "timestamp_ntz") -> Column:
+def bucket_start(ts: str, width: str, kind: str = "timestamp_ntz") -> Column:
     """Start of the epoch-aligned bucket of ``width`` that holds ``ts``."""
     w = micros(width)
-    t = epoch_micros(ts)
-    return from_micros(t - F.pmod(t, F.lit(w)), like)
+    t = epoch_micros(ts, kind)
+    return from_micros(t - F.pmod(t, F.lit(w)), kind)
 
 
 def bucket(
@@ -46,8 +37,8 @@ def bucket(
     gap that each existing bucket leaves, so there is no keys-by-time grid.
     """
     by, w = list(by), micros(width)
-    kind = dict(df.dtypes)[ts]
-    t = epoch_micros(ts)
+    kind = kind_of(df, ts)
+    t = epoch_micros(ts, kind)
     start = (t - F.pmod(t, F.lit(w))).alias("_b")
     counted = df.where(F.col(ts).isNotNull()).groupBy(start, *by).agg(*[c.alias(n) for n, c in aggs.items()])
     names = list(aggs)
@@ -89,7 +80,8 @@ def rate(
         back=1,
         hot_rows=hot_rows,
     )
-    seconds = (epoch_micros(ts) - epoch_micros("_pt")) / F.lit(1e6)
+    kind = kind_of(df, ts)
+    seconds = (epoch_micros(ts, kind) - epoch_micros("_pt", kind)) / F.lit(1e6)
     change = F.col(value) - F.col("_pv")
     return near.withColumn("rate", F.try_divide(change.cast("double"), seconds)).drop("_pt", "_pv")
 
@@ -124,7 +116,7 @@ def moving_avg(
             back=rows - 1,
             hot_rows=hot_rows,
         )
-    ticked = df.withColumn("_tick", epoch_micros(ts))
+    ticked = df.withColumn("_tick", epoch_micros(ts, kind_of(df, ts)))
     out = framed_range(
         ticked, by, "_tick", lambda w: {name: F.avg(value).over(w)}, back=micros(range), hot_rows=hot_rows
     )
@@ -134,7 +126,7 @@ def moving_avg(
 def series_of(df: DataFrame, ts: str, width: str, value: Column) -> tuple[DataFrame, int]:
     """(i, y) per bucket 0..N-1 of the whole time range, and N; empty buckets have NULL."""
     w = micros(width)
-    t = epoch_micros(ts)
+    t = epoch_micros(ts, kind_of(df, ts))
     lo, hi = df.agg(F.min(t), F.max(t)).head()
     if lo is None:
         return df.sparkSession.createDataFrame([], "i bigint, y double"), 0

@@ -21,6 +21,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from weftline.functions.names import whole_numbers
 from weftline.session import durable
 
 HOT_ROWS = 5_000_000
@@ -63,7 +64,7 @@ def positions(df: DataFrame, order: Sequence[str | Column], name: str = "pos") -
     for p in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(p, 0)
-    first = F.lit(offsets or [0]).cast("array<bigint>")
+    first = whole_numbers(offsets or [0])
     local = F.col("_mid").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     return held.withColumn(name, first[part] + local).drop("_mid")
 

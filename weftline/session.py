@@ -78,6 +78,19 @@ def settle(df: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, int
     return durable(df), None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input that sits in few splits.
+
+    For heavy work per row only.  Inputs of at least one full split per core are
+    left as they are, so what is shuffled here is bounded by that size.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
