@@ -113,7 +113,8 @@ def _has_header(spark, paths, sep, recursive) -> bool:
     if not head:
         return False
     reader = _csv(spark, sep, False).option("inferSchema", "true")
-    first, rest = head[:1], head[1:]
+    # files of one directory repeat the header; it says nothing about the types
+    first, rest = head[:1], [line for line in head[1:] if line != head[0]]
     top = _infer(reader, spark, first)
     if not rest:
         return all(kind == "string" for _, kind in top)
