@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "weftline-tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.sql.warehouse.dir": str(home / "warehouse"),
             "spark.checkpoint.dir": str(home / "checkpoints"),
             "spark.driver.memory": "8g",

@@ -90,6 +90,14 @@ def test_fit_prefers_the_true_family(spark):
     assert distribution.tail(base.select(F.pow("u", -0.5).alias("x")), "x", 500).head()["tail_class"] == "heavy"
 
 
+def test_long_tails_agree_with_short_ones(spark, monkeypatch):
+    df = spark.range(1, 400).select((F.col("id") % 90 + 1).cast("double").alias("x"))
+    short = distribution.tail(df, "x", 60).head()
+    monkeypatch.setattr(distribution, "TAIL_WINDOW", 5)
+    long = distribution.tail(df, "x", 60).head()
+    assert tuple(long)[:4] == pytest.approx(tuple(short)[:4]) and long["tail_class"] == short["tail_class"]
+
+
 def test_periodogram_ways_agree(spark):
     n = 300
     df = spark.range(n).where("id % 7 <> 3").select(

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.special import normal_quantile
 from weftline.operators.stats import _attach, cumulative_counts, percentiles
+from weftline.plans.ordered import positions
+
+# rows a top-k may bring to one task; a longer tail is numbered in place
+TAIL_WINDOW = 100_000
 
 
 def _bounds(df: DataFrame, col: str, lo: float | None, hi: float | None) -> tuple[float, float] | None:
@@ -161,22 +165,26 @@ def tail(df: DataFrame, col: str, k: int) -> DataFrame:
     ``alpha`` is Hill's estimator over the k greatest against the next one;
     ``slope`` is the log-log slope of the empirical CCDF over the same values.
     """
-    # a top-k of k + 1 rows: each task keeps its own k + 1 before anything moves
-    best = df.where(F.col(col) > 0).select(F.col(col).cast("double").alias("x")).orderBy(F.desc("x")).limit(k + 1)
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("x"))))
-    size = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    ranked = ranked.withColumn("_m", F.greatest(F.least(size - 1, F.lit(k)), F.lit(0)))
+    positive = df.where(F.col(col) > 0).select(F.col(col).cast("double").alias("x"))
+    m = min(positive.count() - 1, k)
+    empty = "k bigint, threshold double, alpha double, slope double, tail_class string"
+    if m < 1:
+        return df.sparkSession.createDataFrame([], empty)
+    if m <= TAIL_WINDOW:
+        # a top-k: each task keeps its own best before anything moves
+        best = positive.orderBy(F.desc("x")).limit(m + 1)
+        ranked = best.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("x"))))
+    else:
+        ranked = positions(positive, [F.desc("x")], "r").where(F.col("r") <= m).withColumn("r", F.col("r") + 1)
+    within = F.col("r") <= m
     out = ranked.agg(
-        F.max("_m").cast("bigint").alias("k"),
-        F.max(F.when(F.col("r") == F.col("_m") + 1, F.col("x"))).alias("threshold"),
-        F.sum(F.when(F.col("r") <= F.col("_m"), F.ln("x"))).alias("_logs"),
-        F.regr_slope(
-            F.when(F.col("r") <= F.col("_m"), F.ln(F.col("r").cast("double"))),
-            F.when(F.col("r") <= F.col("_m"), F.ln("x")),
-        ).alias("slope"),
+        F.lit(m).cast("bigint").alias("k"),
+        F.max(F.when(F.col("r") == m + 1, F.col("x"))).alias("threshold"),
+        F.sum(F.when(within, F.ln("x"))).alias("_logs"),
+        F.regr_slope(F.when(within, F.ln(F.col("r").cast("double"))), F.when(within, F.ln("x"))).alias("slope"),
     )
     excess = F.col("_logs") / F.col("k") - F.ln("threshold")
-    out = out.where("k > 0").withColumn("alpha", F.when(excess > 0, F.lit(1.0) / excess))
+    out = out.withColumn("alpha", F.when(excess > 0, F.lit(1.0) / excess))
     kind = F.when(F.col("alpha") <= 1, "very heavy").when(F.col("alpha") <= 3, "heavy").otherwise("light")
     return out.select("k", "threshold", "alpha", "slope", kind.alias("tail_class"))
 

@@ -10,17 +10,26 @@ from pyspark.sql import functions as F
 
 from weftline.functions.names import whole_numbers
 from weftline.plans.ordered import HOT_ROWS, _match, largest_key, scan
+from weftline.session import durable, settle
 
 _INLINE_QUANTILES = 12
 _GRID = 1 << 12
 
 
-def value_counts(df: DataFrame, col: str, by: Sequence[str] = (), n: str = "n") -> DataFrame:
-    """Rows per distinct non-null value (and key); combined before the shuffle."""
-    return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias(n))
+def value_counts(
+    df: DataFrame, col: str, by: Sequence[str] = (), n: str = "n", weight: str | None = None
+) -> DataFrame:
+    """Rows per distinct non-null value (and key); combined before the shuffle.
+
+    With ``weight`` each row stands for that many.
+    """
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(size.alias(n))
 
 
-def cumulative_counts(df: DataFrame, col: str, by: Sequence[str] = (), hot_rows: int | None = None) -> DataFrame:
+def cumulative_counts(
+    df: DataFrame, col: str, by: Sequence[str] = (), hot_rows: int | None = None, weight: str | None = None
+) -> DataFrame:
     """(by, col, n, upto, total): counts, running counts and key totals.
 
     The size check counts raw rows, an upper bound for the distinct values one
@@ -28,7 +37,7 @@ def cumulative_counts(df: DataFrame, col: str, by: Sequence[str] = (), hot_rows:
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     split = largest_key(df, list(by)) > limit
-    counts = value_counts(df, col, by)
+    counts = value_counts(df, col, by, weight=weight)
     return scan(
         counts, list(by), [col], sums={"upto": "n"}, totals={"total": "n"}, hot_rows=hot_rows, split=split
     )
@@ -41,13 +50,15 @@ def percentiles(
     by: Sequence[str] = (),
     approx: bool = False,
     *,
+    weight: str | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Long rows (by, p, value) of linearly interpolated percentiles.
 
     Exact by default: values are counted first and ranks come from running
     counts, so no task ever holds all values of one key.  ``approx=True`` uses
-    the mergeable sketch instead (one pass, actual elements).
+    the mergeable sketch instead (one pass, actual elements).  A ``weight``
+    column makes each row stand for that many (exact only).
     """
     by, ps = list(by), [float(p) for p in ps]
     if any(not 0.0 <= p <= 1.0 for p in ps):
@@ -57,7 +68,9 @@ def percentiles(
         points = F.explode(F.arrays_zip(F.lit(ps).alias("p"), F.col("_v").alias("value")))
         return sketch.select(*by, points.alias("_z")).select(*by, "_z.p", "_z.value")
 
-    counted = cumulative_counts(df.select(*by, F.col(col).cast("double").alias("_x")), "_x", by, hot_rows)
+    kept = [weight] if weight else []
+    valued = df.select(*by, *kept, F.col(col).cast("double").alias("_x"))
+    counted = cumulative_counts(valued, "_x", by, hot_rows, weight)
     before = F.col("upto") - F.col("n")
 
     def rank(p) -> Column:
@@ -115,10 +128,11 @@ def percentiles(
 
 
 def percentile_columns(
-    df: DataFrame, col: str, named: dict[str, float], by: Sequence[str] = (), hot_rows: int | None = None
+    df: DataFrame, col: str, named: dict[str, float], by: Sequence[str] = (), hot_rows: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Percentiles as columns: one row per key."""
-    rows = percentiles(df, col, list(named.values()), by, hot_rows=hot_rows)
+    rows = percentiles(df, col, list(named.values()), by, weight=weight, hot_rows=hot_rows)
     return rows.groupBy(*by).agg(
         *[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(name) for name, p in named.items()]
     )
@@ -260,9 +274,11 @@ def outlier_bounds(
         return m.select(*by, (F.col("_m") - reach).alias("lo"), (F.col("_m") + reach).alias("hi"))
     if method == "mad":
         k = 3.0 if k is None else k
-        mid = percentile_columns(df, col, {"_m": 0.5}, by, hot_rows)
-        away = _attach(df, mid, by).withColumn("_d", F.abs(F.col(col) - F.col("_m")))
-        spread = percentile_columns(away, "_d", {"_d": 0.5}, by, hot_rows)
+        # both medians come from one count of values, written out once
+        counts = durable(value_counts(df.select(*by, F.col(col).cast("double").alias("_x")), "_x", by))
+        mid, _ = settle(percentile_columns(counts, "_x", {"_m": 0.5}, by, hot_rows, "n"))
+        away = _attach(counts, mid, by).withColumn("_d", F.abs(F.col("_x") - F.col("_m")))
+        spread = percentile_columns(away, "_d", {"_d": 0.5}, by, hot_rows, "n")
         # 1.4826 makes the median deviation comparable to a normal sd
         reach = F.lit(k * 1.4826) * F.col("_d")
         return _attach(mid, spread, by).select(
@@ -290,7 +306,8 @@ def outliers(
     *, hot_rows: int | None = None,
 ) -> DataFrame:
     """The rows outside the fences, with the fences."""
-    fenced = _attach(df, outlier_bounds(df, col, method, k, by, hot_rows=hot_rows), by)
+    bounds, _ = settle(outlier_bounds(df, col, method, k, by, hot_rows=hot_rows))
+    fenced = _attach(df, bounds, by)
     return fenced.where((F.col(col) < F.col("lo")) | (F.col(col) > F.col("hi")))
 
 
