@@ -10,7 +10,7 @@ from weftline.operators import relational as rel
 from weftline.functions.names import micros
 from weftline.functions.times import epoch_micros
 from weftline.operators import stats, windows
-from weftline.plans.ordered import framed, framed_range
+from weftline.plans.ordered import framed, trailing_totals
 from weftline.session import load
 
 # --- projection ------------------------------------------------------------------
@@ -371,10 +371,8 @@ def win03(spark, folder):
         ahead=3,
     )
     ticked = near.withColumn("_tick", epoch_micros("ts"))
-    out = framed_range(
-        ticked, ["event_type"], "_tick", lambda w: {"day_n": F.count(F.lit(1)).over(w)}, back=micros("1 day")
-    )
-    return out.select("event_id", F.round("ma", 6).alias("ma"), "ahead", "day_n")
+    out = trailing_totals(ticked, ["event_type"], "_tick", "event_id", back=micros("1 day"))
+    return out.select("event_id", F.round("ma", 6).alias("ma"), "ahead", F.col("frame_count").alias("day_n"))
 
 
 register_sql(

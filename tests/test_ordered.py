@@ -81,6 +81,21 @@ def test_framed_range(skewed):
     ))
 
 
+@pytest.mark.parametrize("hot", [None, SMALL])
+def test_trailing_totals(skewed, hot):
+    ticked = skewed.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    for back in (0, 59_999_999, 3_600_000_000, 10**12):
+        want = ordered.trailing_totals(ticked, ["k"], "t", "v", back=back, frame_rows=10**6)
+        got = ordered.trailing_totals(ticked, ["k"], "t", "v", back=back, hot_rows=hot, frame_rows=0)
+        assert rows(want) == rows(got)
+
+
+def test_long_row_frames(skewed, monkeypatch):
+    want = timeseries.moving_avg(skewed, "ts", "v", rows=20, by=["k"], tie=["id"])
+    monkeypatch.setattr(timeseries, "LONG_FRAME", 3)
+    assert rows(timeseries.moving_avg(skewed, "ts", "v", rows=20, by=["k"], tie=["id"])) == rows(want)
+
+
 def test_rank_rows(skewed):
     same(lambda hot: ordered.rank_rows(skewed, [F.desc("v"), F.asc("id")], hot_rows=hot))
 

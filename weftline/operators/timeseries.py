@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from weftline.functions.names import micros
 from weftline.functions.times import epoch_micros, from_micros, kind_of
 from weftline.operators.spectrum import power_spectrum
-from weftline.plans.ordered import framed, framed_range
+from weftline.plans.ordered import framed, scan, trailing_totals
+
+# rows above which a sliding frame, evaluated afresh per row, costs too much
+LONG_FRAME = 256
 
 
 def bucket_start(ts: str, width: str, kind: str = "timestamp_ntz") -> Column:
@@ -107,7 +110,7 @@ def moving_avg(
     """Adds the trailing mean over the last ``rows`` rows or the last ``range`` of time."""
     if (rows is None) == (range is None):
         raise ValueError("give either rows= or range=")
-    if rows is not None:
+    if rows is not None and rows <= LONG_FRAME:
         return framed(
             df,
             by,
@@ -116,11 +119,16 @@ def moving_avg(
             back=rows - 1,
             hot_rows=hot_rows,
         )
-    ticked = df.withColumn("_tick", epoch_micros(ts, kind_of(df, ts)))
-    out = framed_range(
-        ticked, by, "_tick", lambda w: {name: F.avg(value).over(w)}, back=micros(range), hot_rows=hot_rows
-    )
-    return out.drop("_tick")
+    if rows is not None:
+        one = df.withColumn("_one", F.lit(1))
+        ticked = scan(one, by, [ts, *(tie or [value])], sums={"_tick": "_one"}, hot_rows=hot_rows).drop("_one")
+        back = rows - 1
+    else:
+        ticked = df.withColumn("_tick", epoch_micros(ts, kind_of(df, ts)))
+        back = micros(range)
+    out = trailing_totals(ticked, by, "_tick", value, back=back, hot_rows=hot_rows)
+    mean = F.try_divide(F.col("frame_sum").cast("double"), F.col("frame_count"))
+    return out.select(*df.columns, mean.alias(name))
 
 
 def series_of(df: DataFrame, ts: str, width: str, value: Column) -> tuple[DataFrame, int]:

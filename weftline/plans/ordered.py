@@ -227,3 +227,60 @@ def framed_range(
     made = columns(trailing(Window.partitionBy("_block", *by)))
     out = spread.select("*", *[c.alias(c_name) for c_name, c in made.items()])
     return out.where(~F.col("_halo")).select(*df.columns, *made)
+
+
+FRAME_ROWS = 500
+
+
+def trailing_totals(
+    df: DataFrame,
+    by: Sequence[str],
+    ticks: str,
+    col: str,
+    *,
+    back: int,
+    names: tuple[str, str] = ("frame_sum", "frame_count"),
+    hot_rows: int | None = None,
+    frame_rows: int | None = None,
+) -> DataFrame:
+    """Sum and count of ``col`` over ``[t - back, t]`` of the long column ``ticks``.
+
+    Spark evaluates a sliding frame afresh for every row, which costs rows times
+    frame length.  Where frames are long this uses tiles as wide as the frame
+    instead: a frame is the end of one tile plus the start of the next, so a
+    running total from each side of a tile gives every frame in one pass, with
+    nothing subtracted.  Rows of equal key and time are summed first.
+    """
+    by, (total, count) = list(by), names
+    width = back + 1
+    tile = F.floor(F.col(ticks) / F.lit(width)).cast("bigint")
+    tiled = df.where(F.col(ticks).isNotNull()).select(*by, tile.alias("_tile"))
+    if largest_key(tiled, [*by, "_tile"]) <= (FRAME_ROWS if frame_rows is None else frame_rows):
+        frame = lambda w: {total: F.sum(col).over(w), count: F.count(col).over(w)}
+        return framed_range(df, by, ticks, frame, back=back, hot_rows=hot_rows)
+
+    points = df.where(F.col(ticks).isNotNull()).groupBy(*by, F.col(ticks).alias("_t")).agg(
+        F.sum(col).alias("_s"), F.count(col).alias("_n")
+    )
+    place = lambda t: F.floor(t / F.lit(width)).cast("bigint")
+    starts = scan(
+        points.withColumn("_tile", place(F.col("_t"))), [*by, "_tile"], ["_t"],
+        sums={"_ss": "_s", "_nn": "_n"}, hot_rows=hot_rows,
+    ).select(*by, "_t", F.col("_ss").alias("_s"), F.col("_nn").alias("_n"))
+
+    # the frame of t reaches down to t - back: ask the tile below for its end from
+    # there; the first tick of the own tile has nothing below it but that
+    data = points.select(*by, place(F.col("_t")).alias("_tile"), (-F.col("_t")).alias("_down"), F.lit(0).alias("_ask"),
+                         F.lit(None).cast("bigint").alias("_for"), "_s", "_n")
+    low = F.col("_t") - F.lit(back)
+    asks = points.select(*by, place(low).alias("_tile"), (-low).alias("_down"), F.lit(1).alias("_ask"),
+                         F.col("_t").alias("_for"), F.lit(None).cast(points.schema["_s"].dataType).alias("_s"),
+                         F.lit(0).cast("bigint").alias("_n")).where(place(F.col("_for")) > F.col("_tile"))
+    rests = scan(
+        data.unionByName(asks), [*by, "_tile"], ["_down", "_ask"], sums={"_ss": "_s", "_nn": "_n"}, hot_rows=hot_rows
+    ).where("_ask = 1").select(*by, F.col("_for").alias("_t"), F.col("_ss").alias("_s"), F.col("_nn").alias("_n"))
+    frames = starts.unionByName(rests).groupBy(*by, "_t").agg(
+        F.sum("_s").alias(total), F.coalesce(F.sum("_n"), F.lit(0)).alias(count)
+    )
+    joined = _match(df.withColumn("_t", F.col(ticks)), frames, [*by, "_t"])
+    return joined.select(*df.columns, total, count)
