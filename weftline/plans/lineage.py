@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import settle
+from weftline.session import settle, spread
 
 _PART = r"(?:\"[^\"]+\"|`[^`]+`|[A-Za-z_]\w*)"
 # atomic: once a whole name is read it is not shortened to please what follows
@@ -50,7 +50,7 @@ def table_refs(queries: DataFrame, id: str, sql: str) -> DataFrame:
     out.  This reads text with regular expressions; for a single statement the
     workspace asks Spark's own parser instead.
     """
-    text = queries.select(F.col(id).alias("id"), _bare(F.col(sql)).alias("t"))
+    text = spread(queries.select(F.col(id).alias("id"), F.col(sql).alias("t"))).select("id", _bare(F.col("t")).alias("t"))
     # a table position: after FROM / JOIN / INTO, or after a comma within a FROM list
     starts = F.regexp_extract_all(
         "t", F.lit(rf"(?i)\b(?:from|join|insert into|insert overwrite(?: table)?)\s+\(*\s*({_IDENT})(?!\s*\()"), F.lit(1)
@@ -107,6 +107,8 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
     step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where(
         "_from is not null and _to is not null"
     )
+    # read once: every round joins it
+    step, _ = settle(step)
     start = spark.createDataFrame([(r,) for r in roots], f"node {kind}").select("node", F.lit(0).alias("depth"))
     frontier, _ = settle(start.distinct())
     seen, depth = frontier, 0
@@ -212,7 +214,7 @@ def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     start = placed.where("_known = 0").select(
         F.array("node").alias("path"), "node", F.lit(0).alias("depth"), note.alias("note")
     )
-    step = known.where("_p is not null").select(F.col("child").alias("_c"), "parent").distinct()
+    step, _ = settle(known.where("_p is not null").select(F.col("child").alias("_c"), "parent").distinct())
     level, _ = settle(start)
     listed, rounds = level, 0
     while True:

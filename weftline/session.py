@@ -21,7 +21,7 @@ DEFAULTS = {
 }
 
 
-SMALL_ROWS = 10_000
+SMALL_ROWS = 50_000
 
 
 def build_session(app: str = "weftline", master: str | None = None, **conf) -> SparkSession:
