@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import decontaminate, language_id, line_dedup, packing, sql
+from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, packing, sql, warc
 from weftline.session import load
 
 QUERIES: dict = {}
@@ -33,6 +33,16 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query()
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score(load(spark, folder, "documents"), fold(7) == 2)
+
+
+@_query(sql.OP3)
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked(load(spark, folder, "documents"), size=3, percent=90)
+
+
 @_query(sql.OP5)
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
@@ -48,6 +58,12 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query(sql.OP6)
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(load(spark, folder, "pages"), warc.new_folder(spark))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query(sql.OP8)
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
@@ -55,6 +71,11 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_query()
+def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.fingerprints(load(spark, folder, "documents"))
+
+
 @_query()
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")

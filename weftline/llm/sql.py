@@ -26,3 +26,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper IS NOT NULL AND keep
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN shared USING (k) GROUP BY doc_id
 """
+
+OP3 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(list_slice(w, i, i + least(3, len(w)) - 1), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0))),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes k ON k.doc_id = b.doc_id
+  GROUP BY u, v, m.n, k.n HAVING 100 * count(*) >= 90 * (m.n + k.n - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS r FROM d UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.r)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT u AS doc_id, min(r) AS component_id FROM reach GROUP BY u) USING (doc_id)
+"""
+
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+latest AS (SELECT body, max(page_id) AS page FROM p WHERE payload_bytes >= 1000 GROUP BY body)
+SELECT page_id, payload_bytes, sha1(p.body) AS payload_digest,
+  CASE WHEN page <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page <> page_id THEN page END AS refers_to
+FROM p LEFT JOIN latest USING (body)
+"""
