@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, packing, sql, warc
+from weftline.llm.runs import reachable
 from weftline.session import load
 
 QUERIES: dict = {}
@@ -13,7 +14,11 @@ ORACLES: dict = {}
 
 def _query(oracle: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            reachable(spark)
+            return fn(spark, folder)
+
+        QUERIES[fn.__name__] = run
         if oracle:
             ORACLES[fn.__name__] = oracle
         return fn

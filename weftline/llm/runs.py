@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import os
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import scratch_path
 
@@ -10,6 +13,18 @@ from weftline.session import scratch_path
 HEAVY_SHARE = 1000
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    For a local master, whatever its working folder; on a cluster the package is
+    installed or sent with the job.
+    """
+    root, given = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in given.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        given["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read again.
 
