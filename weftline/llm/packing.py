@@ -9,11 +9,13 @@ then look up their sequence.
 
 from __future__ import annotations
 
-import re
+import base64
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -136,61 +138,53 @@ class Slots:
 
 # --- tokens -------------------------------------------------------------------
 
-#: Blanks of any kind; the marks at the end are blanks to some pattern engines only.
-_BLANK = "[\\s᠎​﻿]"
-_TWO_BLANKS = re.compile(_BLANK + "{2}")
-_LONE_SPACE = re.compile(f"(?<!{_BLANK}) (?!{_BLANK})")
-_REMEMBERED, _LONGEST = 400_000, 64
+@dataclass
+class _Encoder:
+    """A vocabulary; with its rank file, texts without special tokens take the faster way."""
+
+    tokenizer: object
+    ranks: object
+    special: list[str]
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranks is None or any(t in text for t in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.ranks.encode_ordinary(text), dtype="<u4")
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _encoder(path: str, ranks_path: str | None) -> _Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer, ranks = Tokenizer.from_file(path), None
+    if ranks_path:
+        import public_tokenizers
+        import tiktoken
 
+        lines = Path(ranks_path).read_bytes().split(b"\n")
+        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, lines))}
+        ranks = tiktoken.Encoding(ranks_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+    return _Encoder(tokenizer, ranks, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The ids of a text as little-endian 32-bit integers.
 
-    The byte-level split never joins what stands before a lone space with what
-    follows it, so a text is encoded piece by piece, and pieces are remembered.
-    """
-    tokenizer, memory = _tokenizer(path)
-    parts = text.split(" ") if not _TWO_BLANKS.search(text) else _LONE_SPACE.split(text)
-    head, rest = parts[0], [" " + p for p in parts[1:]]
-    pieces = [head, *rest]
-    new = [p for p in dict.fromkeys(pieces) if p not in memory]
-    if new:
-        if len(memory) + len(new) > _REMEMBERED:
-            memory.clear()
-            new = list(dict.fromkeys(pieces))
-        encoded = {p: np.array(tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in new}
-        memory.update((p, b) for p, b in encoded.items() if len(p) <= _LONGEST)
-        long = {p: b for p, b in encoded.items() if len(p) > _LONGEST}
-        if long:
-            return b"".join([memory[p] if p not in long else long[p] for p in pieces])
-    return b"".join(map(memory.__getitem__, pieces))
-
-
-def _cut(path: str, capacity: int, unit: int, end_id: int):
+def _cut(path: str, ranks_path: str | None, capacity: int, unit: int, end_id: int):
     """Pieces of each text, numbered within (task, length class)."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        encoder, part = _encoder(path, ranks_path), TaskContext.get().partitionId()
         given: dict[int, int] = {}
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_bytes(text.as_py() or "", path) + end
-                n = len(ids) // 4
+                ids = np.append(encoder.ids(text.as_py() or ""), end_id).astype("<u4")
+                n = len(ids)
                 for start in range(0, n, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    length = len(piece) // 4
+                    piece = ids[start : start + capacity]
+                    length = len(piece)
                     group = -(-length // unit)
                     rank = given[group] = given.get(group, -1) + 1
-                    rows.append((doc, start, length, zlib.crc32(piece), n, group, part, rank))
+                    rows.append((doc, start, length, zlib.crc32(piece.tobytes()), n, group, part, rank))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 8, names=_PIECE)
 
     return run
@@ -217,6 +211,7 @@ def pack(
     docs: DataFrame,
     tokenizer_path: str,
     *,
+    ranks_path: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 2048,
@@ -231,6 +226,8 @@ def pack(
     piece to padding.  ``sequence_id`` counts from 0 without gaps; ``offset`` is gapless
     from 0 within a sequence.
 
+    ``ranks_path`` may name a rank file of the same vocabulary; ids are the same, sooner.
+
     A null or empty text is ``end_id`` alone.  Rows are packed one by one, so repeated
     rows, equal or null ids give pieces of their own.  An empty table gives no rows;
     other columns are not looked at.
@@ -238,7 +235,7 @@ def pack(
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"{c} long" for c in _PIECE)
-    pieces = stored(source.mapInArrow(_cut(tokenizer_path, capacity, unit, end_id), schema), "pieces")
+    pieces = stored(source.mapInArrow(_cut(tokenizer_path, ranks_path, capacity, unit, end_id), schema), "pieces")
     by_part = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("part")
     by_part = stored(by_part.withColumn("before", F.sum("n").over(before) - F.col("n")), "ranks")

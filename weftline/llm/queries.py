@@ -35,7 +35,8 @@ def fold(modulus: int):
 def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(load(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    vocabulary, ranks = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
+    return packing.pack(load(spark, folder, "documents"), vocabulary, ranks_path=ranks)
 
 
 @_query()
