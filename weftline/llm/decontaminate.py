@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.hashing import ALPHANUMERIC, word_blocks
+from weftline.llm.runs import prepare
 
 
 
@@ -99,7 +100,7 @@ def _merge(begins: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
     return out_b, out_e
 
 
-def _scan(windows, text_col: str):
+def _scan(windows, last: bool):
     """Adds one block's hits to the running columns of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def _scan(windows, text_col: str):
             begins = columns["_hit_begin"].to_pylist()
             ends = columns["_hit_end"].to_pylist()
             items = columns["_found"].to_pylist()
-            for first, counts, hashes, *_ in word_blocks(columns[text_col], ALPHANUMERIC):
+            for first, counts, hashes, *_ in word_blocks(columns["_text"], ALPHANUMERIC):
                 total[first : first + len(counts)] = counts
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 start, window = block.found(hashes, np.repeat(edge[:-1], counts), np.repeat(edge[1:], counts))
@@ -128,9 +129,9 @@ def _scan(windows, text_col: str):
             columns["_n_words"] = pa.array(total)
             for name, values in (("_hit_begin", begins), ("_hit_end", ends), ("_found", items)):
                 columns[name] = pa.array(values, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [columns[f.name] for f in batch.schema], schema=pa.schema([(f.name, columns[f.name].type) for f in batch.schema])
-            )
+            if last:
+                del columns["_text"]
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -183,6 +184,7 @@ def find_items(
     item_id: str = "item_id",
     item_text: str = "text",
     size: int = 13,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` and ``items`` (ids of items that occur).
 
@@ -194,22 +196,26 @@ def find_items(
     pass each over all documents; documents are never shuffled.  A null or empty
     text has no words and no hits; an item without words, or with a null id, has no
     windows.  Repeated rows, and repeated item ids, are each looked at (an id is
-    listed once).  An empty ``docs`` or ``items`` is fine.  Columns of ``docs`` pass
+    listed once).  An empty ``docs`` or ``items`` is fine.  The columns ``keep``, or all, pass
     through, except that ``n_words``, ``n_hit`` and ``items`` are replaced.
     """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
+    prepare(spark)
+    keep = [c for c in keep or docs.columns if c not in ("n_words", "n_hit", "items")]
     none = F.array().cast("array<bigint>")
-    work = docs.select(*keep, F.lit(0).cast("long").alias("_n_words"), none.alias("_hit_begin"), none.alias("_hit_end"), none.alias("_found"))
-    blocks = 0
+    work = docs.select(*keep, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n_words"), none.alias("_hit_begin"), none.alias("_hit_end"), none.alias("_found"))
+    waiting = None
+
+    def scanned(block: list, last: bool) -> DataFrame:
+        vocabulary = np.unique(np.concatenate([w for _, w in block])) if block else np.zeros(0, np.uint64)
+        windows = _Windows(block, size, _frequencies(docs, text_col, vocabulary))
+        return work.mapInArrow(_scan(spark.sparkContext.broadcast(windows), last), (work.drop("_text") if last else work).schema)
+
     for block in _item_blocks(items, item_id, item_text):
-        vocabulary = np.unique(np.concatenate([w for _, w in block]))
-        windows = spark.sparkContext.broadcast(_Windows(block, size, _frequencies(docs, text_col, vocabulary)))
-        work = work.mapInArrow(_scan(windows, text_col), work.schema)
-        blocks += 1
-    if not blocks:
-        windows = spark.sparkContext.broadcast(_Windows([], size, {}))
-        work = work.mapInArrow(_scan(windows, text_col), work.schema)
+        if waiting is not None:
+            work = scanned(waiting, False)
+        waiting = block
+    work = scanned(waiting or [], True)  # texts do not come back from the last scan
     hit = F.aggregate(F.arrays_zip("_hit_begin", "_hit_end"), F.lit(0).cast("long"), lambda a, r: a + r["_hit_end"] - r["_hit_begin"])
     return work.select(*keep, F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.col("_found").alias("items"))
 

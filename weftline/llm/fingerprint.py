@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.llm.runs import prepare
+
 #: Hashes in a fingerprint; the standard error of a likeness p is sqrt(p(1-p)/LENGTH).
 LENGTH = 128
 
@@ -147,6 +149,7 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     read for that.  Texts are shuffled once.
     """
     spark = docs.sparkSession
+    prepare(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     cuts = 4 * partitions

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.llm.components import components
 from weftline.llm.hashing import BLANK_SEPARATED, distinct_shingles, mix, word_blocks
-from weftline.llm.runs import stored
+from weftline.llm.runs import prepare, stored
 
 #: How many of the most frequent shingles the order knows by their frequency; it
 #: bounds what is broadcast.  All others count as equally rare: any order is right.
@@ -271,6 +271,7 @@ def linked(
     percent = int(percent)
     if not 31 <= percent <= 100:
         raise ValueError("percent must lie between 31 and 100")
+    prepare(docs.sparkSession)
     text = F.col(text_col).cast("string")
     # rows without an id need one to be found again by
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), text.alias("text"), F.col(id_col).cast("long").alias("given"))

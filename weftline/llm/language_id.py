@@ -12,8 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from weftline.llm.hashing import ALPHANUMERIC, text_bytes, word_blocks
+from weftline.llm.runs import prepare
 
 #: No language: no text, or no letter in it.
 UNDETERMINED = "und"
@@ -32,16 +34,18 @@ class Model:
     languages: list[str]
     word_hashes: np.ndarray
     word_scores: np.ndarray
-    gram_scores: dict[str, np.ndarray]
+    grams: dict[str, int]
+    gram_scores: np.ndarray
     longest: int
 
     def of_unseen(self, word: str) -> np.ndarray:
         """Mean over the known n-grams of the longest size that has any."""
         framed = f"<{word}>"
         for size in range(min(self.longest, len(framed)), 0, -1):
-            known = [g for i in range(len(framed) - size + 1) if (g := self.gram_scores.get(framed[i : i + size])) is not None]
+            rows = [self.grams.get(framed[i : i + size]) for i in range(len(framed) - size + 1)]
+            known = [r for r in rows if r is not None]
             if known:
-                return sum(known[1:], known[0]) / len(known)
+                return self.gram_scores[known].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
@@ -93,7 +97,7 @@ def train(
         return grouped.orderBy(F.desc("n"), key).limit(most).collect()
 
     framed = F.concat(F.lit("<"), "word", F.lit(">"))
-    grams, known = {}, top(counts, "word", max_words)
+    grams, gram_scores, known = {}, [], top(counts, "word", max_words)
     base = np.array([float(totals[v]) for v in languages])
     for size in range(1, longest + 1):
         pieces = counts.withColumn("f", framed).where(F.length("f") >= size).select(
@@ -102,21 +106,22 @@ def train(
         pieces = pieces.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
         table = top(pieces, "gram", max_grams)
         mass = np.array([float(sum(r["by"].get(v, 0) for r in table)) for v in languages])
-        grams.update(zip([r["gram"] for r in table], _scores(table, languages, mass), strict=True))
+        grams.update((r["gram"], len(grams)) for r in table)
+        gram_scores.append(_scores(table, languages, mass))
     counts.unpersist()
     spelled = [r["word"] for r in known]
     hashes = [h for _, _, h, *_ in word_blocks(pa.array(spelled, pa.large_string()), ALPHANUMERIC)]
     hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     scores = _scores(known, languages, base) if known else np.zeros((0, len(languages)))
-    return Model(languages, hashes[order], scores[order], grams, longest)
+    return Model(languages, hashes[order], scores[order], grams, np.concatenate(gram_scores), longest)
 
 
 #: Unseen words whose scores a task remembers; forgotten all at once when full.
-_REMEMBERED = 200_000
+_REMEMBERED = 50_000
 
 
-def _predict(shared, text_col: str):
+def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         width = len(model.languages)
@@ -132,7 +137,7 @@ def _predict(shared, text_col: str):
             return got
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(batch.num_columns - 1)
             total = np.zeros((batch.num_rows, width))
             for first, counts, hashes, begins, ends, data in word_blocks(texts, ALPHANUMERIC):
                 if not width or not len(hashes):
@@ -155,8 +160,8 @@ def _predict(shared, text_col: str):
                 score = np.where(letters, likely.max(axis=1), 0.0)
             else:
                 best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            columns = [*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            columns = [*batch.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
@@ -175,17 +180,18 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior of that language.
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs``, or all, with ``lang_pred`` and ``score``, the
+    posterior of that language.
 
     Every row is judged on its whole text alone, in one map-only pass.  A null text,
     one without letters, and a model of no language give ``und`` with score 0.  Of
-    equally likely languages the first by name wins.  Columns pass through; ones named
-    ``lang_pred`` or ``score`` are replaced.
+    equally likely languages the first by name wins.  Columns named ``lang_pred`` or
+    ``score`` are replaced.
     """
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("lang_pred", "score")
-    schema = plain.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    for field in schema.fields[-2:]:
-        field.nullable = True
-    return plain.mapInArrow(_predict(shared, text_col), schema)
+    plain = docs.select(*[c for c in keep or docs.columns if c not in ("lang_pred", "score")])
+    schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    source = docs.select(*plain.columns, F.col(text_col).cast("string").alias("_text"))
+    return source.mapInArrow(_predict(shared), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weftline.llm.runs import stored
+from weftline.llm.runs import prepare, stored
 
 # --- the linear program -------------------------------------------------------
 
@@ -233,6 +233,7 @@ def pack(
     other columns are not looked at.
     """
     spark = docs.sparkSession
+    prepare(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"{c} long" for c in _PIECE)
     pieces = stored(source.mapInArrow(_cut(tokenizer_path, ranks_path, capacity, unit, end_id), schema), "pieces")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, packing, sql, warc
-from weftline.llm.runs import reachable
 from weftline.session import load
 
 QUERIES: dict = {}
@@ -14,11 +13,7 @@ ORACLES: dict = {}
 
 def _query(oracle: str | None = None):
     def add(fn):
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            reachable(spark)
-            return fn(spark, folder)
-
-        QUERIES[fn.__name__] = run
+        QUERIES[fn.__name__] = fn
         if oracle:
             ORACLES[fn.__name__] = oracle
         return fn
@@ -51,8 +46,8 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query(sql.OP5)
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents").select("doc_id", "text")
-    found = decontaminate.find_items(docs, load(spark, folder, "benchmark"))
+    docs = load(spark, folder, "documents")
+    found = decontaminate.find_items(docs, load(spark, folder, "benchmark"), keep=["doc_id"])
     items = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
     return found.select(
         "doc_id",
@@ -87,6 +82,4 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
     model = language_id.train(docs, fold(3) != 1)
     held_out = (fold(3) == 1).alias("held_out")
-    return language_id.identify(docs.select("doc_id", held_out, "text"), model).select(
-        "doc_id", "held_out", "lang_pred", "score"
-    )
+    return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"])

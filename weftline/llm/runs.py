@@ -13,12 +13,20 @@ from weftline.session import scratch_path
 HEAVY_SHARE = 1000
 
 
-def reachable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it.
+#: Rows, and bytes where Spark knows the setting, that a Python task gets at once.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
-    For a local master, whatever its working folder; on a cluster the package is
-    installed or sent with the job.
+
+def prepare(spark: SparkSession) -> None:
+    """Bounds the batches of Python tasks, and lets Python workers import this package.
+
+    Whole texts are long rows, so Spark's 10,000 a batch are too many; a value that the
+    session has set itself stays.  The import path serves a local master, whatever its
+    working folder; on a cluster the package is installed or sent with the job.
     """
+    for key, value in _BATCH.items():
+        if spark.conf.get(key, None) in (None, "10000"):
+            spark.conf.set(key, value)
     root, given = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in given.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

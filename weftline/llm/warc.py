@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm.runs import stored
+from weftline.llm.runs import prepare, stored
 from weftline.session import scratch_path
 
 # Fixed values of the formats: the gzip magic with the deflate method, and the first
@@ -101,6 +101,7 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 1000) ->
     row with an id has its payload; a null url leaves its field out.  No row, no file.
     """
     spark = pages.sparkSession
+    prepare(spark)
     store, root = _open(folder)
     store.create_dir(root, recursive=True)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -242,6 +243,7 @@ def read_archives(files: DataFrame, *, split_bytes: int = 32 << 20) -> DataFrame
     No file, no row.
     """
     spark = files.sparkSession
+    prepare(spark)
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = files.select("path", "bytes", begins.alias("begin")).withColumn("end", F.least(F.col("begin") + split_bytes, "bytes"))
     tasks = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism + files.count()))
