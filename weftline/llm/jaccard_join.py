@@ -3,7 +3,9 @@
 Documents link when the Jaccard similarity of their shingle sets reaches a threshold.
 
 * Equal sets are one node.  An inverted index holds the necessary prefix of each
-  node's set under the order "rarest first".
+  node's set under the order "rarest first", prolonged so that linked nodes meet on
+  MEETINGS lists at least.  Lists are cut into cells by set size; nodes that meet too
+  few others of a size they could link with are done.
 * Relations between sets spare most comparisons.  Nodes that meet on index lists
   gather round a base set.  Each is compared with its base once, and from then on is
   the base plus a short difference: the overlap of two nodes of one base follows from
@@ -13,8 +15,8 @@ Documents link when the Jaccard similarity of their shingle sets reaches a thres
 
   so nodes near the base are linked without looking at any set, and others are
   searched by an index of the differences alone.
-* Lists that hold nodes of several bases are cut into blocks by set size.  A node
-  probes the blocks it can reach, and skips entries whose positions leave too little.
+* On lists that hold nodes of several bases a node probes the size blocks that it can
+  reach, and skips entries whose positions leave too little overlap.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from weftline.llm.runs import prepare, stored
 #: How many of the most frequent shingles the order knows by their frequency; it
 #: bounds what is broadcast.  All others count as equally rare: any order is right.
 FREQUENT = 1 << 18
+#: Lists on which linked nodes meet (or on as many as the overlap they need has shingles).
+MEETINGS = 10
 #: A task reports a shingle that this many of a block's distinct sets hold.
 _REPORTED = 4
 _BLOCK = 2_000_000
@@ -104,7 +108,7 @@ def _prefixes(shared, size: int, percent: int):
                 if not many or name in seen:
                     continue
                 seen.add(name)
-                keep = many - -(-percent * many // 100) + 1
+                keep = min(many, many - -(-percent * many // 100) + MEETINGS)
                 order = mix(shingles ^ np.uint64(percent))
                 if len(known):
                     slot = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
@@ -125,11 +129,14 @@ def _prefixes(shared, size: int, percent: int):
 
 def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             wanted = batch.column(1).to_pylist()
             node, members = [], []
             for i, shingles in _sets(batch.column(0), size):
-                if _node(shingles) == wanted[i]:  # rows that share an id may have other texts
+                # rows that share an id may have other texts; equal ones lie in one task
+                if _node(shingles) == wanted[i] and wanted[i] not in seen:
+                    seen.add(wanted[i])
                     node.append(wanted[i])
                     members.append(shingles.view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -165,20 +172,30 @@ def _edges(source: DataFrame, summary: DataFrame, size: int, percent: int) -> Da
     prefixes = source.select("text").mapInArrow(_prefixes(shared, size, percent), "node long, n long, prefix array<long>")
     entries = prefixes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
 
-    # index lists with at least two nodes; the least node of each stands for a base
-    lists = entries.groupBy("token").agg(F.min("node").alias("stand"), F.max("node").alias("_last")).where("stand <> _last")
-    lists = stored(lists.drop("_last"), "tokens")
-    entries = stored(entries.join(lists, "token").distinct(), "lists")
-    votes = entries.groupBy("node", "stand").agg(F.count("*").alias("many"))
+    # index lists with at least two nodes
+    lists = entries.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("token")
+    entries = stored(entries.join(stored(lists, "tokens"), "token").distinct(), "lists")
+    # nodes that may link lie in one size block or in two next to each other, so they share
+    # a cell of one of two grids; the least node of a cell stands for a base
+    cell = F.floor((_block(percent) + F.col("grid")) / 2)
+    cells = entries.select("token", "node", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("grid")).withColumn("cell", cell)
+    stands = cells.groupBy("token", "grid", "cell").agg(F.min("node").alias("stand"), F.max("node").alias("_b")).where("stand <> _b").drop("_b")
+    met = cells.join(stored(stands, "cells"), ["token", "grid", "cell"]).select("node", "n", "token", "stand")
+    met = stored(met.groupBy("node", "n", "stand").agg(F.collect_set("token").alias("tokens")), "met")
+    enough = met.groupBy("node", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("many"))
+    enough = enough.where(F.col("many") >= _needed(F.col("n"), percent)).select("node")
+    votes = met.join(enough, "node", "left_semi").select("node", "stand", F.size("tokens").alias("many"))
     base = votes.groupBy("node").agg(F.max(F.struct("many", -F.col("stand"), "stand"))["stand"].alias("base"))
     base = stored(base, "bases")
     for _ in range(2):  # the base of a base
-        base = base.join(base.select(F.col("node").alias("base"), F.col("base").alias("_next")), "base").select("node", F.col("_next").alias("base"))
+        following = base.select(F.col("node").alias("base"), F.col("base").alias("_next"))
+        base = base.join(following, "base", "left").select("node", F.coalesce("_next", "base").alias("base"))
+    base = stored(base, "bases")
 
     # the sets of nodes that meet any other
     first = summary.where("shingle IS NULL").join(base.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"))
     chosen = source.join(first, "doc").select("text", "node")
-    sets = chosen.mapInArrow(_whole_sets(size), "node long, members array<long>").dropDuplicates(["node"])
+    sets = chosen.mapInArrow(_whole_sets(size), "node long, members array<long>")
     sets = stored(sets.withColumn("n", F.size("members").cast("long")), "sets")
 
     # each node as its base and a difference, where that is short; else it is its own base
@@ -197,9 +214,20 @@ def _edges(source: DataFrame, summary: DataFrame, size: int, percent: int) -> Da
     near = stored(near, "differences")
 
     to_base = near.where("weight <= slack").select(F.col("node").alias("u"), F.col("base").alias("v"))
+    entries = entries.join(base.select("node"), "node", "left_semi")
     return to_base.unionByName(_same_base(near, percent)).unionByName(_across(entries, near, sets, percent))
 
 
+def _block(percent: int):
+    """The size block of ``n``: sizes in proportion ``percent`` or more are at most one apart."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+
+
+def _needed(n, percent: int):
+    """Lists on which a set of n meets any set it links with."""
+    return F.least(F.lit(MEETINGS), F.ceil(n * percent / 100))
+
+
 def _same_base(near: DataFrame, percent: int) -> DataFrame:
     """Links of nodes too far from their base to be linked with it.
 
@@ -234,8 +262,7 @@ def _across(entries: DataFrame, near: DataFrame, sets: DataFrame, percent: int)
     """Links of nodes of different bases, from lists cut into blocks by set size."""
     placed = entries.join(near.select("node", "base"), "node", "left").withColumn("base", F.coalesce("base", "node"))
     mixed = placed.groupBy("token").agg(F.min("base").alias("main"), F.max("base").alias("_last")).where("main <> _last").drop("_last")
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    placed = stored(placed.join(mixed, "token").select("token", "node", "n", "at", "base", "main", block.alias("block")), "mixed")
+    placed = stored(placed.join(mixed, "token").select("token", "node", "n", "at", "base", "main", _block(percent).alias("block")), "mixed")
     # all nodes of a list's main base are spared among themselves
     probe = placed.where("base <> main").select(
         "token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("iu"), F.col("base").alias("bu"),
@@ -244,10 +271,13 @@ def _across(entries: DataFrame, near: DataFrame, sets: DataFrame, percent: int)
     index = placed.select(
         "token", "block", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("iv"), F.col("base").alias("bv"), "main"
     )
-    left = F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv"))
-    enough = left * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent
-    pairs = probe.join(index, ["token", "block"]).where((F.col("bu") != F.col("bv")) & ((F.col("bv") == F.col("main")) | (F.col("u") < F.col("v"))) & enough)
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # an overlap is what lies before a common token in both, and from it on
+    most = F.least("iu", "iv") + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv"))
+    enough = most * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent
+    apart = (F.col("bu") != F.col("bv")) & ((F.col("bv") == F.col("main")) | (F.col("u") < F.col("v")))
+    pairs = probe.join(index, ["token", "block"]).where(apart & enough)
+    pairs = pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.least("nu", "nv").alias("n")).agg(F.count_distinct("token").alias("many"))
+    pairs = pairs.where(F.col("many") >= _needed(F.col("n"), percent)).select("u", "v")
     of = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"m{name}"), F.col("n").alias(f"n{name}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("_both", F.size(F.array_intersect("mu", "mv")))
     return both.where(F.col("_both") * 100 >= (F.col("nu") + F.col("nv") - F.col("_both")) * percent).select("u", "v")
