@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, packing, sql, warc
+from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, lm_score, packing, passages, sql, warc
 from weftline.session import load
 
 QUERIES: dict = {}
@@ -44,6 +44,11 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.linked(load(spark, folder, "documents"), size=3, percent=90)
 
 
+@_query()
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated(load(spark, folder, "documents"))
+
+
 @_query(sql.OP5)
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents")
@@ -65,6 +70,11 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query()
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.find_licenses(load(spark, folder, "documents"))
+
+
 @_query(sql.OP8)
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
