@@ -57,8 +57,10 @@ register_sql(
 register_sql(
     "rcp05_size_ladder",
     "documents",
-    """SELECT CASE WHEN n_chars < 512 THEN 'under 512' WHEN n_chars < 2048 THEN '512 to 2k'
-                   WHEN n_chars < 8192 THEN '2k to 8k' WHEN n_chars < 32768 THEN '8k to 32k' ELSE 'over 32k' END AS size_class,
+    # fixed values: the size ladder of the recipe
+    """SELECT CASE WHEN n_chars < 1024 THEN '<1KB' WHEN n_chars < 10240 THEN '1-10KB'
+                   WHEN n_chars < 102400 THEN '10-100KB' WHEN n_chars < 1048576 THEN '100KB-1MB'
+                   WHEN n_chars < 10485760 THEN '1-10MB' ELSE '>10MB' END AS size_bucket,
               count(*) AS files, min(n_chars) AS least
        FROM documents GROUP BY 1 ORDER BY min(n_chars)""",
 )
@@ -103,8 +105,9 @@ register_sql(
 register_sql(
     "rcp11_errors",
     "documents",
+    # fixed values: the patterns of the recipe
     """SELECT doc_id, source, n_chars FROM documents
-       WHERE lower(text) LIKE '%error%' OR lower(text) LIKE '%fail%' OR lower(text) LIKE '%license%'
+       WHERE lower(text) LIKE '%error%' OR lower(text) LIKE '%fail%' OR lower(text) LIKE '%crit%'
        ORDER BY doc_id DESC LIMIT 100""",
 )
 

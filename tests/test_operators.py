@@ -199,9 +199,9 @@ def test_log_templates(spark):
 
 
 def test_chart_layouts(spark):
-    users = spark.createDataFrame([(0, "root", 3), (1, "admin", 1), (2, "deploy", 1)], "o int, x string, n int")
+    users = spark.createDataFrame([(0, "orange", 6), (1, "lemon", 2), (2, "plum", 2)], "o int, x string, n int")
     bars = plotdata.bar_layout(plotdata.plot_series(users, "x", ["n"], order=["o"]), 60).orderBy("ord").collect()
-    assert [(r["label"], r["len"]) for r in bars] == [("root", 42), ("admin", 14), ("deploy", 14)]
+    assert [(r["label"], r["len"]) for r in bars] == [("orange", 42), ("lemon", 14), ("plum", 14)]
     text = plotdata.plot_series(users, "x", ["n", "x"], order=["o"])
     assert {r["y"] for r in text.where("series = 'x'").collect()} == {0.0}
     assert plotdata.bar_layout(text.where("series = 'x'")).count() == 0
@@ -216,6 +216,18 @@ def test_chart_layouts(spark):
         plotdata.plot_series(rate.select("x"))
 
 
+def test_records_of_long_tokens(spark):
+    lines = ["job 1 wrote " + "Zm9v" * 25_000, "job 2 wrote /" + "a" * 50_000]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert logs.log_records(df, "line").count() == 2
+
+
+def test_byte_sizes():
+    from weftline.session import byte_size
+
+    assert [byte_size(x) for x in ("134217728b", "256m", "1g", "64KB", "7")] == [134217728, 256 << 20, 1 << 30, 64 << 10, 7]
+
+
 def test_names_and_patterns():
     assert quoted("a.b`c") == "`a`.`b``c`"
     assert micros("15 minutes") == 900_000_000

@@ -115,8 +115,9 @@ def log_records(
     masked = with_skeleton(df.where(F.col(line).isNotNull()), line)
     joined = masked.join(keyed, "skeleton")
 
-    # tokens of the raw line, a masked value staying one token
-    raw = F.regexp_extract_all(F.col(line), F.lit(rf"((?:{_ANY_MASK}|\S)+)"), F.lit(1))
+    # tokens of the raw line, a masked value staying one token; possessive, as a greedy
+    # group would recurse once per character of a token
+    raw = F.regexp_extract_all(F.col(line), F.lit(rf"((?:{_ANY_MASK}|\S)++)"), F.lit(1))
     pattern = F.split(F.col("pattern"), " ")
     variable = F.transform(
         raw,

@@ -18,7 +18,7 @@ def plot_series(
     df: DataFrame,
     x: str | None = None,
     ys: Sequence[str] = (),
-    limit: int | None = 500,
+    limit: int | None = None,
     order: Sequence[str | Column] = (),
 ) -> DataFrame:
     """(series_no, series, ord, x, y): one row per point, ``ord`` from 0 in a series.

@@ -23,12 +23,26 @@ _IDENT = rf"(?>{_PART}(?:\.{_PART})*)"
 # --- query texts ---------------------------------------------------------------
 
 
+# one left-to-right reading: a quote in a comment opens nothing, dashes in a literal neither;
+# possessive throughout, so that no text is too long
+_QUIET = (
+    r"(')[^']*+(?:''[^']*+)*+(')"  # a literal
+    r"|(\"[^\"]*+\"|`[^`]*+`)"  # a quoted name
+    r"|--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+)
+# FROM that names no table: in a function's arguments, and in IS DISTINCT FROM
+_ARGUMENT_FROM = r"(?i)\b(extract|trim|substring|overlay|position)\s*+\(([^()]*?)\bfrom\b"
+_DISTINCT_FROM = r"(?i)\bdistinct\s++from\b"
+
+
 def _bare(sql: Column) -> Column:
-    """The text without string literals and comments, blanks collapsed."""
-    out = F.regexp_replace(sql, r"'(?:[^']|'')*'", "''")
-    out = F.regexp_replace(out, r"--[^\n]*", " ")
-    out = F.regexp_replace(out, r"(?s)/\*.*?\*/", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """The text without the contents of literals and comments, blanks collapsed, and
+    without FROM where it names no table."""
+    out = F.regexp_replace(sql, _QUIET, "$1$2$3\u0001")
+    out = F.regexp_replace(out, "(?<=['\"`])\u0001", "")
+    out = F.translate(out, "\u0001", " ")
+    out = F.regexp_replace(F.regexp_replace(out, _ARGUMENT_FROM, "$1($2,"), _DISTINCT_FROM, "distinct")
+    return F.trim(F.regexp_replace(out, r"\s++", " "))
 
 
 def _unquoted(name: Column) -> Column:
@@ -56,8 +70,8 @@ def table_refs(queries: DataFrame, id: str, sql: str) -> DataFrame:
         "t", F.lit(rf"(?i)\b(?:from|join|insert into|insert overwrite(?: table)?)\s+\(*\s*({_IDENT})(?!\s*\()"), F.lit(1)
     )
     stop = "|".join(_STOP)
-    lists = F.regexp_extract_all("t", F.lit(rf"(?i)\bfrom\s+((?:(?!\b(?:{stop})\b)[^()]|\([^()]*\))*)"), F.lit(1))
-    items = F.flatten(F.transform(lists, lambda part: F.slice(F.split(part, ","), 2, 10_000)))
+    lists = F.regexp_extract_all("t", F.lit(rf"(?i)\bfrom\s+((?:(?!\b(?:{stop})\b)[^()]|\([^()]*+\))*+)"), F.lit(1))
+    items = F.flatten(F.transform(lists, lambda part: F.slice(F.split(part, ","), F.lit(2), F.size(F.split(part, ",")) - 1)))
     after_comma = F.filter(
         F.transform(items, lambda item: F.regexp_extract(item, rf"^\s*({_IDENT})(?!\s*\()", 1)),
         lambda name: name != "",

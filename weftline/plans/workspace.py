@@ -177,7 +177,7 @@ class Workspace:
 
     # --- charts and export ---------------------------------------------------
 
-    def plot(self, kind: str, source: str, x: str | None = None, *ys: str, limit: int | None = 500, order: Sequence[str] = ()) -> DataFrame:
+    def plot(self, kind: str, source: str, x: str | None = None, *ys: str, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
         """A chart node ``plot:<source>``; returns its series."""
         self[source]
         name = f"plot:{source}"
@@ -282,7 +282,8 @@ class Workspace:
 
     @staticmethod
     def _frozen_name(name: str) -> str:
-        return "frozen__" + re.sub(r"\W", "_", name)
+        # letters that a table name may not tell apart are spelled out, so no two names meet
+        return "frozen__" + re.sub(r"[^a-z0-9]", lambda c: f"_{ord(c[0]):x}_", name)
 
     def trim(self, name: str) -> None:
         """Drop a node's data and keep its definition."""

@@ -78,16 +78,30 @@ def settle(df: DataFrame, small_rows: int = SMALL_ROWS) -> tuple[DataFrame, int
     return durable(df), None
 
 
+_UNITS = {"": 1, "b": 1, **{u + b: 1 << (10 * i) for i, u in enumerate("kmgtp", 1) for b in ("", "b", "ib")}}
+
+
+def byte_size(setting: str) -> int:
+    """The bytes of a size setting such as 134217728b, 256m or 1g."""
+    number = setting.strip().lower()
+    digits = number.rstrip("bikmgtp ")
+    return int(float(digits) * _UNITS[number[len(digits) :].strip()])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a small input that sits in few splits.
 
     For heavy work per row only.  Inputs of at least one full split per core are
-    left as they are, so what is shuffled here is bounded by that size.
+    left as they are, so what is shuffled here is bounded by that size.  Without a
+    session that tells the size (a remote one), nothing is moved.
     """
     spark = df.sparkSession
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return df
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * split else df
 
 
