@@ -242,15 +242,19 @@ def _same_base(near: DataFrame, percent: int) -> DataFrame:
     tokens = tokens.join(rarity, ["base", "token"], "left")
     lone = F.sum(F.when(F.col("held").isNull(), 1).otherwise(0)).over(Window.partitionBy("node"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("held", F.lit(0)), "token"))
-    tokens = tokens.withColumn("place", place).where("held IS NOT NULL")
+    # only what others of the base hold too can be common
+    tokens = tokens.withColumn("place", place).withColumn("able", F.col("size") - lone).where("held IS NOT NULL")
     far = F.col("weight") > F.col("slack")
     probe_need = F.ceil((F.col("weight") - F.col("slack")) / unit)
     index_need = F.ceil((F.col("weight") + 1) / unit)
-    probe = tokens.where(far & (F.col("place") <= F.col("size") - probe_need + 1)).select("base", "token", F.col("node").alias("u"))
+    probe = tokens.where(far & (F.col("place") <= F.col("size") - probe_need + 1)).select(
+        "base", "token", F.col("node").alias("u"), F.col("able").alias("au"), F.col("weight").alias("wu"), "slack"
+    )
     index = tokens.where(F.col("place") <= F.col("size") - F.greatest(index_need, F.lit(1)) + 1).select(
-        "base", "token", F.col("node").alias("v"), far.alias("far")
+        "base", "token", F.col("node").alias("v"), far.alias("far"), F.col("able").alias("av"), F.col("weight").alias("wv")
     )
-    pairs = probe.join(index, ["base", "token"]).where("u <> v AND (NOT far OR u < v)").select("u", "v").distinct()
+    reach = F.least("au", "av") * unit >= F.col("wu") + F.col("wv") - F.col("slack")
+    pairs = probe.join(index, ["base", "token"]).where(F.expr("u <> v AND (NOT far OR u < v)") & reach).select("u", "v").distinct()
     of = lambda name: near.select(
         F.col("node").alias(name), F.col("diff").alias(f"d{name}"), F.col("weight").alias(f"w{name}"), F.col("slack").alias(f"s{name}")
     )
