@@ -1,17 +1,19 @@
 """License scans by conditional compression.
 
-A block of text that may be a license notice is compressed on its own and with each
-template as a raw zstandard dictionary.  The template that saves most is the likely
-one; it counts only if the wording, compared word by word, differs little.
+A block of a text's words that may be a license notice is compared word by word with
+the templates it shares a piece with.  Where the wording differs little from several, the
+block is compressed on its own and with each of them as a raw zstandard dictionary; the
+one that saves most is the license.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,9 +35,6 @@ TEMPLATES = {
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
 }
 
-#: What a line must have, in any case, to begin a candidate block.
-TRIGGER = r"(?i)licen[cs]e|copyright|public domain|redistribution"
-
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -44,74 +43,121 @@ def wording(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@dataclass(frozen=True)
+class _Template:
+    name: str
+    words: tuple[str, ...]
+    allowed: int  # changed words
+    pieces: tuple[tuple[int, str, frozenset[str]], ...]  # first word, wording between blanks, words
+    packer: object
+
+
 @lru_cache(maxsize=4)
-def _templates(templates: tuple[tuple[str, str], ...]):
+def _templates(templates: tuple[tuple[str, str], ...], share: float):
     import zstandard
 
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
     out = []
     for name, text in templates:
-        shared = zstandard.ZstdCompressionDict(" ".join(wording(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((name, wording(text), zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=False)))
-    return plain, out
-
-
-def changes(words: list[str], template: list[str]) -> int:
-    """Words to put in, take out or replace to make the block's best part the template."""
-    matcher = SequenceMatcher(None, words, template, autojunk=False)
-    edits = [op for op in matcher.get_opcodes() if op[0] != "equal"]
-    total = 0
-    for tag, a, b, c, d in edits:
-        outside = tag == "delete" and (a == 0 or b == len(words))  # what stands around the notice
-        total += 0 if outside else max(b - a, d - c)
-    return total
-
-
-def judge(block: list[str], templates: tuple[tuple[str, str], ...], share: float) -> tuple[str, float, int] | None:
-    """(license, share of bytes saved, changed words) of the winner, if it is confirmed."""
-    plain, known = _templates(templates)
+        words = wording(text)
+        if not words:
+            continue
+        # at least one word must stand; of one piece more than changes, one stands unchanged
+        allowed = max(0, min(int(share * len(words)), len(words) - 1))
+        cuts = [len(words) * i // (allowed + 1) for i in range(allowed + 2)]
+        pieces = tuple((a, f" {' '.join(words[a:b])} ", frozenset(words[a:b])) for a, b in zip(cuts, cuts[1:], strict=False))
+        shared = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=False)
+        out.append(_Template(name, tuple(words), allowed, pieces, packer))
+    return plain, out, frozenset(w for t in out for w in t.words)
+
+
+def _blocks(words: list[str], known: list[_Template], vocabulary: frozenset[str]) -> Iterator[tuple[_Template, int, int]]:
+    """(template, begin, end): where a notice of that template can stand, overlapping blocks as one."""
+    present, joined = vocabulary.intersection(words), None
+    for template in known:
+        found = []
+        for offset, piece, needed in template.pieces:
+            if not needed <= present:
+                continue
+            if joined is None:
+                joined = f" {' '.join(words)} "
+                begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+            at = joined.find(piece)
+            while at >= 0:
+                found.append(int(np.searchsorted(begins, at)) - offset)
+                at = joined.find(piece, at + 1)
+        end = None
+        for place in sorted(found):
+            a = max(0, place - template.allowed)
+            b = min(len(words), place + len(template.words) + template.allowed)
+            if end is not None and a <= end:
+                end = max(end, b)
+                continue
+            if end is not None:
+                yield template, begin, end
+            begin, end = a, b
+        if end is not None:
+            yield template, begin, end
+
+
+def changes(block: list[str], template: _Template) -> list[tuple[int, int, int]]:
+    """(words to put in, take out or replace, begin, end) of the block's parts that are the
+    template but for the allowed changes; of parts that overlap, the one with the fewest."""
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(template.words))}
+    text = np.array([numbers.get(w, -1) for w in block], dtype=np.int64)
+    one, place = np.int64(1 << 32), np.arange(len(block) + 1, dtype=np.int64)
+    # least cost of the words so far of the template, by end in the block; the latest begin of equal ones
+    cost = len(block) - place
+    for word in template.words:
+        step = cost + one
+        step[1:] = np.minimum(step[1:], cost[:-1] + one * (text != numbers[word]))
+        cost = np.minimum.accumulate(step - place * one) + place * one
+    n, begin = cost // one, len(block) - cost % one
+    out: list[tuple[int, int, int]] = []
+    taken = np.zeros(len(block), bool)
+    ends = np.flatnonzero(n <= template.allowed)
+    for end in ends[np.argsort(n[ends], kind="stable")].tolist():
+        a = int(begin[end])
+        if a < end and not taken[a:end].any():
+            taken[a:end] = True
+            out.append((int(n[end]), a, end))
+    return out
+
+
+def notices(words: list[str], templates: tuple[tuple[str, str], ...], share: float) -> list[tuple[int, int, str, float, int]]:
+    """(begin, end, license, share of bytes saved, changed words) of every notice, in order."""
+    plain, known, vocabulary = _templates(templates, share)
     ranked = []
-    for name, words, packer in known:
-        # as much text as the template has words
-        data = " ".join(block[: len(words) + 2]).encode()
-        alone = len(plain.compress(data))
-        ranked.append(((alone - len(packer.compress(data))) / max(1, alone), name, words))
-    ranked.sort(key=lambda r: (-r[0], r[1]))
-    best = None
-    for saved, name, words in ranked:
-        if best is not None and saved < best[0]:
-            break
-        n = changes(block[: len(words) + 2], words)
-        if n <= share * len(words) and (best is None or n < best[2]):
-            best = (saved, name, n)
-    return None if best is None else (best[1], best[0], best[2])
+    for template, a, b in _blocks(words, known, vocabulary):
+        for n, begin, end in changes(words[a:b], template):
+            data = " ".join(words[a + begin : a + end]).encode()
+            alone = len(plain.compress(data))
+            less = alone - len(template.packer.compress(data))
+            ranked.append((-less, n, template.name, a + begin, a + end, less / max(1, alone)))
+    # of notices that overlap, the one whose template saves most
+    taken, out = np.zeros(len(words) if ranked else 0, bool), []
+    for _, n, name, begin, end, saved in sorted(ranked):
+        if not taken[begin:end].any():
+            taken[begin:end] = True
+            out.append((begin, end, name, saved, n))
+    return sorted(out)
 
 
 def _scan(templates: tuple[tuple[str, str], ...], share: float):
-    trigger = re.compile(TRIGGER)
-    longest = max((len(wording(t)) for _, t in templates), default=0) + 2
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lines = (text.as_py() or "").split("\n")
-                for i, line in enumerate(lines):
-                    hit = trigger.search(line)
-                    if not hit:
-                        continue
-                    # the notice may begin some words before, and go on in the next lines
-                    before = len(wording(line[: hit.start()]))
-                    block, j = wording(line), i + 1
-                    while len(block) < before + longest and j < len(lines):
-                        block += wording(lines[j])
-                        j += 1
-                    found = None
-                    for begin in range(max(0, before - longest), before + 1):
-                        if (got := judge(block[begin : begin + longest], templates, share)) and (found is None or (got[2], -got[1]) < (found[2], -found[1])):
-                            found = got
-                    if found:
-                        rows.append((doc, i, *found))
+                text = (text.as_py() or "").lower()
+                found = notices(_WORD.findall(text), templates, share)
+                if not found:
+                    continue
+                places = [m.start() for m in _WORD.finditer(text)]
+                line, last = 0, 0
+                for begin, _, *rest in found:
+                    line, last = line + text.count("\n", last, places[begin]), places[begin]
+                    rows.append((doc, line, *rest))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -126,19 +172,20 @@ def find_licenses(
 ) -> DataFrame:
     """doc_id, line, license, saved, n_changed: the license notices of the texts.
 
-    A candidate begins on a line with a TRIGGER word (``line`` counts from 0).  The
-    template that saves the largest share of its compressed bytes wins (of equal ones, the
-    one with fewer changes); it is confirmed if at most ``share`` of the template's words
-    are changed.  Case, blanks and punctuation do not matter.
+    A notice is a run of words, across line breaks, that differs from a template by at
+    most ``share`` of the template's words; each one of a text gives a row, with the line
+    it begins on (``line`` counts from 0).  Candidates are the places where a piece of a
+    template stands word for word: with one piece more than changes allowed, no notice is
+    without.  Of templates confirmed at overlapping places the one that saves most bytes
+    wins (of equal ones, the one with fewer changes).  Case, blanks and punctuation do not
+    matter.
 
-    Every line of every text is looked at, in one map-only pass.  A text without notices,
+    All words of every text are looked at, in one map-only pass.  A text without notices,
     empty or null gives no row; repeated rows give their rows each; a null id stays null.
     No templates, or an empty table, no rows; other columns are not looked at.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # texts without any trigger stay in the JVM
-    source = source.where(F.col("text").rlike(TRIGGER))
     return source.mapInArrow(
         _scan(tuple(templates.items()), share), "doc_id long, line long, license string, saved double, n_changed long"
     )
