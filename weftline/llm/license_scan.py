@@ -9,7 +9,7 @@ one that saves most is the license.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.llm.license_texts import WORDINGS
 from weftline.llm.runs import prepare
 
 # The usual short notices of common licenses.
@@ -35,6 +36,9 @@ TEMPLATES = {
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
 }
 
+#: All wordings by license: the notices above and those of license_texts.
+LICENSES = {name: [*([TEMPLATES[name]] if name in TEMPLATES else []), *WORDINGS.get(name, [])] for name in [*TEMPLATES, *(n for n in WORDINGS if n not in TEMPLATES)]}
+
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -168,13 +172,13 @@ def _scan(templates: tuple[tuple[str, str], ...], share: float):
 
 
 def find_licenses(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, share: float = 0.1
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str | Sequence[str]] = LICENSES, share: float = 0.1
 ) -> DataFrame:
     """doc_id, line, license, saved, n_changed: the license notices of the texts.
 
     A notice is a run of words, across line breaks, that differs from a template by at
     most ``share`` of the template's words; each one of a text gives a row, with the line
-    it begins on (``line`` counts from 0).  Candidates are the places where a piece of a
+    it begins on (``line`` counts from 0).  A license may have several templates.  Candidates are the places where a piece of a
     template stands word for word: with one piece more than changes allowed, no notice is
     without.  Of templates confirmed at overlapping places the one that saves most bytes
     wins (of equal ones, the one with fewer changes).  Case, blanks and punctuation do not
@@ -186,6 +190,7 @@ def find_licenses(
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    pairs = tuple((name, text) for name, texts in templates.items() for text in ([texts] if isinstance(texts, str) else texts))
     return source.mapInArrow(
-        _scan(tuple(templates.items()), share), "doc_id long, line long, license string, saved double, n_changed long"
+        _scan(pairs, share), "doc_id long, line long, license string, saved double, n_changed long"
     )
