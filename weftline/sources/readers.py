@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet"}
 COMPRESSED = (".gz", ".bz2")
 UNREADABLE = (".zst", ".zstd")
-SNIFF_ROWS = 200
 
 
 def detect_format(path: str) -> str:
@@ -103,20 +102,16 @@ def _read_delimited(spark, paths, sep, header, schema, recursive) -> DataFrame:
 
 
 def _has_header(spark, paths, sep, recursive) -> bool:
-    """True unless the first line fits the types of the lines after it.
-
-    Looks at the first lines only; the types of the table itself are inferred
-    over the whole files afterwards.
-    """
-    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths).limit(SNIFF_ROWS)
-    head = [r[0] for r in lines.collect()]
-    if not head:
+    """True unless the first line fits the types of all lines after it."""
+    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths)
+    head = lines.head()
+    if head is None:
         return False
     reader = _csv(spark, sep, False).option("inferSchema", "true")
     # files of one directory repeat the header; it says nothing about the types
-    first, rest = head[:1], [line for line in head[1:] if line != head[0]]
+    first, rest = lines.limit(1), lines.where(F.col("value") != head[0])
     top = _infer(reader, spark, first)
-    if not rest:
+    if rest.isEmpty():
         return all(kind == "string" for _, kind in top)
     body = _infer(reader, spark, rest)
     if len(body) != len(top):
@@ -127,13 +122,17 @@ def _has_header(spark, paths, sep, recursive) -> bool:
     if any(b != "string" for _, b in typed):
         return False
     # all text: a header repeats nowhere below and its names differ
-    names = [v.strip().strip('"') for v in first[0].split(sep)]
-    seen = {v.strip().strip('"') for line in rest for v in line.split(sep)}
-    return len(set(names)) == len(names) and all(re.fullmatch(r"[A-Za-z_][\w ]*", n) for n in names) and not seen & set(names)
+    names = [v.strip().strip('"') for v in head[0].split(sep)]
+    if len(set(names)) < len(names) or not all(re.fullmatch(r"[A-Za-z_][\w ]*", n) for n in names):
+        return False
+    cells = F.split("value", re.escape(sep))
+    bare = F.transform(cells, lambda v: F.regexp_replace(F.regexp_replace(v, r"^\s+|\s+$", ""), '^"+|"+$', ""))
+    return rest.where(F.arrays_overlap(bare, F.array(*[F.lit(n) for n in names]))).isEmpty()
 
 
-def _infer(reader, spark, lines: list[str]) -> list[tuple[str, str]]:
-    return reader.option("header", "false").csv(spark.sparkContext.parallelize(lines, 1)).dtypes
+def _infer(reader, spark, lines: DataFrame) -> list[tuple[str, str]]:
+    texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader.option("header", "false")._jreader.csv(texts), spark).dtypes
 
 
 def _read_blanks(spark, paths, header, schema) -> DataFrame:
@@ -154,6 +153,9 @@ def _read_blanks(spark, paths, header, schema) -> DataFrame:
         names = list(header)
         if len(names) != count:
             raise ValueError(f"{len(names)} column names for {count} columns")
+    most = lines.agg(F.max(F.size(parts))).head()[0] or 0
+    if most > count:
+        raise ValueError(f"a line has {most} fields, the first line {count}")
     cut = lines.select(parts.alias("p")).select(*[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)])
     if schema is not None:
         kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 
 @dataclass(frozen=True)
@@ -21,8 +22,18 @@ class Ingested:
         return sum(self.batches)
 
 
-def _drain(query) -> Ingested:
-    query.awaitTermination()
+_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
+
+
+def _drain(spark: SparkSession, start: Callable[[], StreamingQuery]) -> Ingested:
+    """Runs a query to its end, with the progress of every batch kept meanwhile."""
+    before = spark.conf.get(_KEPT)
+    spark.conf.set(_KEPT, str(2**31 - 1))
+    try:
+        query = start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_KEPT, before)
     return Ingested(tuple(p["numInputRows"] for p in query.recentProgress if p["numInputRows"]))
 
 
@@ -54,7 +65,7 @@ def into_incremental(
     )
     if location:
         writer = writer.option("path", location)
-    return _drain(writer.toTable(table))
+    return _drain(spark, lambda: writer.toTable(table))
 
 
 def stream_bucket_counts(
@@ -72,12 +83,11 @@ def stream_bucket_counts(
 
 def drain_to(stream: DataFrame, path: str, checkpoint: str) -> Ingested:
     """Run a streaming result over everything available into Parquet files."""
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
-    return _drain(query)
+    return _drain(stream.sparkSession, writer.start)
