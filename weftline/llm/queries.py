@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, lm_score, packing, passages, sql, warc
+from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, lm_score, merkle, packing, passages, sql, warc
 from weftline.session import load
 
 QUERIES: dict = {}
@@ -93,3 +93,16 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.train(docs, fold(3) != 1)
     held_out = (fold(3) == 1).alias("held_out")
     return language_id.identify(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"])
+
+
+@_query(sql.OP12)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    def leaf(n_chars):
+        return merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    docs = load(spark, folder, "documents")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf(F.col("n_chars") + 1))
+    made = merkle.manifest(docs.withColumn("changed", changed), leaf(F.col("n_chars")), keep=["doc_id", "changed"])
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    made = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -49,3 +49,57 @@ SELECT page_id, payload_bytes, sha1(p.body) AS payload_digest,
   CASE WHEN page <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page <> page_id THEN page END AS refers_to
 FROM p LEFT JOIN latest USING (body)
 """
+
+#: CRC-32 of a short text of ASCII, bit by bit (fixed polynomial).
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+    "lambda x, z: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"
+)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(f) for f in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of a tree: (g, lvl, pos, h, n), n the nodes of that level."""
+    return f"""{name} AS (
+  SELECT g, 0 AS lvl, pos, h, n FROM {leaves} UNION ALL
+  SELECT g, lvl + 1, pos // 2, sha256(h || coalesce(other, '')), (n + 1) // 2
+  FROM (SELECT *, lead(h) OVER (PARTITION BY g ORDER BY pos) AS other FROM {name} WHERE n > 1) WHERE pos % 2 = 0)"""
+
+
+OP12 = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang AS g, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS changed,
+    {_CRC32.format("doc_id::VARCHAR")} % 7 = 0 AS hurt,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+leaves AS (SELECT g, pos, leaf AS h, n FROM rows),
+{_tree("tree", "leaves")},
+tops AS (SELECT 0 AS g, g AS lang, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS n FROM tree WHERE n = 1),
+{_tree("crown", "tops")},
+levels AS (SELECT DISTINCT g, lvl FROM tree WHERE n > 1),
+steps AS (
+  SELECT r.doc_id, l.lvl, (r.pos >> l.lvl) % 2 AS side, t.h
+  FROM rows r JOIN levels l ON l.g IS NOT DISTINCT FROM r.g
+  LEFT JOIN tree t ON t.g IS NOT DISTINCT FROM r.g AND t.lvl = l.lvl AND t.n > 1 AND t.pos = xor(r.pos >> l.lvl, 1)
+  UNION ALL
+  SELECT r.doc_id, 1000 + l.lvl, (o.pos >> l.lvl) % 2, t.h
+  FROM rows r JOIN tops o ON o.lang IS NOT DISTINCT FROM r.g CROSS JOIN (SELECT DISTINCT lvl FROM crown WHERE n > 1) l
+  LEFT JOIN crown t ON t.lvl = l.lvl AND t.n > 1 AND t.pos = xor(o.pos >> l.lvl, 1)),
+paths AS (
+  SELECT doc_id, string_agg(h, '' ORDER BY lvl) AS siblings,
+    list(CASE WHEN h IS NULL THEN '-' WHEN side = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY lvl) AS path
+  FROM steps GROUP BY doc_id)
+SELECT *, folded_root = root AS verified FROM (
+SELECT r.doc_id, leaf, o.h AS subroot, (SELECT h FROM crown WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+  list_reduce(list_prepend(CASE WHEN hurt THEN coalesce(changed, leaf) ELSE leaf END, coalesce(path, [])),
+    lambda v, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || v) WHEN 'R' THEN sha256(v || s[2:]) ELSE sha256(v) END) AS folded_root
+FROM rows r JOIN tops o ON o.lang IS NOT DISTINCT FROM r.g LEFT JOIN paths USING (doc_id))
+"""
