@@ -49,6 +49,9 @@ def _fold() -> np.ndarray:
 
 FOLD = _fold()
 
+#: Every byte as it is.
+AS_IS = np.arange(256, dtype=np.uint8)
+
 #: Bytes of words: everything but blanks (0x20, 0x09-0x0D).
 BLANK_SEPARATED = np.ones(256, dtype=bool)
 BLANK_SEPARATED[[0x20, *range(0x09, 0x0E)]] = False
@@ -92,12 +95,12 @@ def _raw(folded: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
     return (total[ends] - total[begins]) * back[begins]
 
 
-def _long_text(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long_text(data: np.ndarray, is_word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, begins and ends of the words of one text, block by block."""
     hashes, all_begins, all_ends = [], [], []
     open_hash, open_begin, open_len = 0, 0, 0
     for at in range(0, len(data), BLOCK):
-        folded = FOLD[data[at : at + BLOCK]]
+        folded = fold[data[at : at + BLOCK]]
         word = is_word[folded]
         begins, ends = _spans(word, np.zeros(1, dtype=np.int64))
         raw, begins_at = _raw(folded, begins, ends), begins + at
@@ -124,20 +127,21 @@ def _long_text(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_blocks(
-    column: pa.Array, is_word: np.ndarray
+    column: pa.Array, is_word: np.ndarray, fold: np.ndarray = FOLD
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The words of the texts, for a bounded number of bytes at a time.
 
     Yields (first, counts, hashes, begins, ends, data): ``first`` is the index of
     the first text of the block, ``counts`` the number of words of each of its
-    texts, the rest is per word, with byte positions into ``data``.
+    texts, the rest is per word, with byte positions into ``data``.  ``fold`` maps
+    the bytes before they are hashed: A-Z to lower case, if not given.
     """
     data, where = text_bytes(column)
     n, i = len(where) - 1, 0
     while i < n:
         if where[i + 1] - where[i] > BLOCK:
             text = data[where[i] : where[i + 1]]
-            hashes, begins, ends = _long_text(text, is_word)
+            hashes, begins, ends = _long_text(text, is_word, fold)
             yield i, np.array([len(hashes)]), hashes, begins, ends, text
             i += 1
             continue
@@ -146,7 +150,7 @@ def word_blocks(
         text = data[where[i] : where[j]]
         edges = where[i : j + 1] - where[i]
         if len(text):
-            folded = FOLD[text]
+            folded = fold[text]
             begins, ends = _spans(is_word[folded], edges[:-1])
             hashes = mix(_raw(folded, begins, ends))
             counts = np.diff(np.searchsorted(begins, edges))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, lm_score, merkle, packing, passages, sql, warc
+from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, lm_score, merkle, packing, passages, periodic, sql, warc
 from weftline.session import load
 
 QUERIES: dict = {}
@@ -106,3 +106,41 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("path"))
     made = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
     return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def planted_repeats(text, h):
+    """``text``, or where ``h`` % 10 is 0 its words with the unit from word a on, of p words, over and over."""
+    blanks = F.lit(" \t\n\u000b\f\r")
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = F.floor(1 + (n - a) / (3 + g % 8)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    words = F.split(F.btrim(text, blanks), r"[\x20\x09-\x0D]+")
+    # by way of an array of one, so the words are split once a row
+    tampered = F.get(F.transform(F.array(words), repeated), 0)
+    return F.when((h % 10 == 0) & (F.btrim(text, blanks) != ""), tampered).otherwise(text)
+
+
+@_query()
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    docs = docs.select("doc_id", planted_repeats(F.col("text"), F.crc32(F.col("doc_id").cast("string"))).alias("text"))
+    found = periodic.find_runs(docs, keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return found.withColumn("exponent_milli", F.expr("1000 * length div period")).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
+    )
