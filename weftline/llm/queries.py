@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, lm_score, merkle, packing, passages, periodic, sql, warc
+from weftline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, lm_score, merkle, packing, passages, periodic, quality, sql, warc
 from weftline.session import load
 
 QUERIES: dict = {}
@@ -144,3 +144,12 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("exponent_milli", F.expr("1000 * length div period")).select(
         "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
     )
+
+
+@_query()
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    model = quality.train(docs, load(spark, folder, "labels"), fold(5) != 0)
+    held_out = (fold(5) == 0).alias("held_out")
+    scored = quality.score(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
