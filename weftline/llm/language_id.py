@@ -11,52 +11,126 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from weftline.llm.hashing import ALPHANUMERIC, text_bytes, word_blocks
-from weftline.llm.runs import prepare
+from weftline.llm.hashing import ALPHANUMERIC, BLOCK, mix, shingles, text_bytes, word_blocks
+from weftline.llm.runs import prepare, stored
 
 #: No language: no text, or no letter in it.
 UNDETERMINED = "und"
 
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
+#: Signs that frame a word; no word holds them.
+_OPEN, _CLOSE = ord("<"), ord(">")
+
+
+def _framed(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, characters, word of each) of framed words, some at a time, A-Z in lower case."""
+    at = 0
+    while at < len(words):
+        end, size = at, 0
+        while end < len(words) and (end == at or size + len(words[end]) <= BLOCK):
+            size += len(words[end])
+            end += 1
+        text = b"<" + b"><".join(words[at:end]) + b">"
+        chars = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        chars = np.where((chars >= 65) & (chars <= 90), chars + 32, chars)
+        yield at, chars, np.cumsum(chars == _OPEN) - 1
+        at = end
+
+
+def _grams(chars: np.ndarray, word: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, hash) of all n-grams of one size, a bounded number at a time."""
+    for at in range(0, len(chars) - size + 1, BLOCK):
+        part = chars[at : at + BLOCK + size - 1].astype(np.uint64)
+        of = word[at : at + BLOCK + size - 1]
+        inside = of[: len(of) - size + 1] == of[size - 1 :]
+        yield of[: len(of) - size + 1][inside], shingles(mix(part + np.uint64(1)), size)[inside]
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted known ones, and where."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    slot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[slot] == keys, slot
+
+
 @dataclass
 class Model:
-    """Log frequencies per language, of words (by hash, sorted) and of n-grams."""
+    """Log frequencies per language: of words (``keys[0]``, sorted hashes, with ``scores[0]``)
+    and of the n-grams of each size."""
 
     languages: list[str]
-    word_hashes: np.ndarray
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-    longest: int
-
-    def of_unseen(self, word: str) -> np.ndarray:
-        """Mean over the known n-grams of the longest size that has any."""
-        framed = f"<{word}>"
-        for size in range(min(self.longest, len(framed)), 0, -1):
-            rows = [self.grams.get(framed[i : i + size]) for i in range(len(framed) - size + 1)]
-            known = [r for r in rows if r is not None]
-            if known:
-                return self.gram_scores[known].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-
-def _scores(table: list, languages: list[str], totals: np.ndarray) -> np.ndarray:
-    """log((count + 1) / (total + size)) of each row's counts."""
-    at = {v: i for i, v in enumerate(languages)}
-    counts = np.zeros((len(table), len(languages)))
-    for i, row in enumerate(table):
-        for lang, n in row["by"].items():
-            counts[i, at[lang]] = n
-    return np.log((counts + 1) / (totals + max(1, len(table))))
+    keys: list[np.ndarray]
+    scores: list[np.ndarray]
+
+    def of_unseen(self, words: list[bytes]) -> np.ndarray:
+        """Per word, the mean over the known n-grams of the longest size that has any."""
+        out = np.zeros((len(words), len(self.languages)))
+        for first, chars, word in _framed(words):
+            some = np.arange(word[-1] + 1)
+            for size in range(len(self.keys) - 1, 0, -1):
+                many, total = np.zeros(len(some)), np.zeros((len(some), len(self.languages)))
+                for of, gram in _grams(chars, word, size):
+                    known, slot = _found(self.keys[size], gram)
+                    of, slot = of[known], slot[known]
+                    many += np.bincount(of, minlength=len(some))
+                    for k in range(len(self.languages)):
+                        total[:, k] += np.bincount(of, self.scores[size][slot, k], minlength=len(some))
+                done = many > 0
+                out[first + some[done]] = total[done] / many[done, None]
+                # on with the words that have none of this size
+                left = ~done
+                chars, word = chars[left[word]], word[left[word]]
+                if not len(chars):
+                    break
+                number = np.cumsum(left) - 1
+                some, word = some[left], number[word]
+        return out
+
+
+def _counted(longest: int):
+    """Counts of words (size 0) and n-grams per language, of a block of texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            names, lang = langs.dictionary, langs.indices.to_numpy()
+            for first, counts, hashes, begins, ends, data in word_blocks(batch.column(1), ALPHANUMERIC):
+                if not len(hashes):
+                    continue
+                # one entry per distinct word and language
+                mine = np.repeat(lang[first : first + len(counts)], counts)
+                order = np.lexsort((mine, hashes))
+                word, of = hashes[order], mine[order]
+                new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])]))
+                many = np.diff(np.append(new, len(word)))
+                word, of, place = word[new], of[new], order[new]
+                yield _rows(0, word, of, many, names)
+                spelled = [data[b:e].tobytes() for b, e in zip(begins[place].tolist(), ends[place].tolist(), strict=True)]
+                for at, chars, owner in _framed(spelled):
+                    for size in range(1, longest + 1):
+                        for which, gram in _grams(chars, owner, size):
+                            which = which + at
+                            order = np.lexsort((of[which], gram))
+                            which, gram = which[order], gram[order]
+                            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[which][1:] != of[which][:-1])]) if len(gram) else np.zeros(0, bool)
+                            new = np.flatnonzero(new)
+                            if len(new):
+                                yield _rows(size, gram[new], of[which][new], np.add.reduceat(many[which], new), names)
+
+    return run
+
+
+def _rows(size: int, key: np.ndarray, lang: np.ndarray, n: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(key), size), pa.int32()), pa.array(key.view(np.int64)), names.take(pa.array(lang)), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["size", "key", "lang", "n"])
 
 
 def train(
@@ -66,59 +140,47 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     max_docs: int = 10_000,
-    max_words: int = 100_000,
-    max_grams: int = 50_000,
+    max_bytes: int = 32 << 20,
+    least: int = 2,
     longest: int = 4,
+    common: float = 0.1,
 ) -> Model:
     """Fits the model on the labelled rows that ``use`` admits.
 
-    Of more than ``max_docs`` such rows, about ``max_docs`` are used, chosen evenly
-    by a hash of their text.  Of their words, the ``max_words`` most frequent are
-    known words; of the n-grams of each size up to ``longest`` characters, the
-    ``max_grams`` most frequent are kept.  So the model has a bounded size.
-    Rows without text or label are no use.  No usable row: a model of no language.
+    Of more than ``max_docs`` such rows, or ``max_bytes`` of text in them, an even share by a
+    hash of the text is used, so that about as many are left.  Words, and n-grams of up to
+    ``longest`` characters, that these texts hold ``least`` times are known; nothing else
+    bounds the model, so its size follows from that of the sample.  A frequency in a language
+    is mixed with its mean over all languages, of weight ``common``, so a language of little
+    text does not win by what it has not shown.  Rows without text or label are no use.  No usable row: a model of no language.  Columns of other names are
+    not looked at.
     """
+    prepare(docs.sparkSession)
     good = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    good = good.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = min(1.0, max_docs / max(1, good.count()))
-    part = F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 20))
-    words = good.where(part < int(share * (1 << 20)) if share < 1 else F.lit(True)).select(
-        "lang", F.explode(F.split(F.translate("text", _UPPER, _LOWER), _SEPARATORS)).alias("word")
-    )
-    counts = words.where("word <> ''").groupBy("word", "lang").agg(F.count("*").alias("n"))
-    counts = counts.persist()
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
-
-    def top(table: DataFrame, key: str, most: int) -> list:
-        grouped = table.groupBy(key).agg(
-            F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-        )
-        return grouped.orderBy(F.desc("n"), key).limit(most).collect()
-
-    framed = F.concat(F.lit("<"), "word", F.lit(">"))
-    grams, gram_scores, known = {}, [], top(counts, "word", max_words)
-    base = np.array([float(totals[v]) for v in languages])
-    for size in range(1, longest + 1):
-        pieces = counts.withColumn("f", framed).where(F.length("f") >= size).select(
-            "lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("f") - (size - 1)), lambda i: F.substring("f", i, F.lit(size)))).alias("gram")
-        )
-        pieces = pieces.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-        table = top(pieces, "gram", max_grams)
-        mass = np.array([float(sum(r["by"].get(v, 0) for r in table)) for v in languages])
-        grams.update((r["gram"], len(grams)) for r in table)
-        gram_scores.append(_scores(table, languages, mass))
-    counts.unpersist()
-    spelled = [r["word"] for r in known]
-    hashes = [h for _, _, h, *_ in word_blocks(pa.array(spelled, pa.large_string()), ALPHANUMERIC)]
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    scores = _scores(known, languages, base) if known else np.zeros((0, len(languages)))
-    return Model(languages, hashes[order], scores[order], grams, np.concatenate(gram_scores), longest)
-
-
-#: Unseen words whose scores a task remembers; forgotten all at once when full.
-_REMEMBERED = 50_000
+    good = good.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    many, size = good.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    share = min(1.0, max_docs / max(1, many), max_bytes / max(1, size))
+    if share < 1:
+        good = good.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = good.mapInArrow(_counted(longest), "size int, key long, lang string, n long")
+    counts = counts.groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("size", "key").agg(F.sum("n").alias("_all"), F.collect_list(F.struct("lang", "n")).alias("_by"))
+    # a row per known key and language, and what each language has of each size in all
+    counts = stored(counts, "language-counts")
+    totals = {(r["size"], r["lang"]): r["n"] for r in counts.select("size", F.inline("_by")).groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    got = counts.where(F.col("_all") >= least).select("size", "key", F.inline("_by")).toArrow()
+    languages = sorted({lang for _, lang in totals})
+    size, key, n = (got[c].to_numpy() for c in ("size", "key", "n"))
+    lang = pc.index_in(got["lang"], pa.array(languages, pa.string())).to_numpy()
+    keys, scores = [], []
+    for k in range(longest + 1):
+        known, row = np.unique(key[size == k].view(np.uint64), return_inverse=True)
+        table = np.zeros((len(known), len(languages)))
+        table[row, lang[size == k]] = n[size == k]
+        share = table / np.array([max(1.0, totals.get((k, v), 0)) for v in languages])
+        keys.append(known)
+        scores.append(np.log((1 - common) * share + common * share.sum(axis=1, keepdims=True) / max(1, len(languages))).astype(np.float32))
+    return Model(languages, keys, scores)
 
 
 def _predict(shared):
@@ -126,16 +188,6 @@ def _predict(shared):
         model: Model = shared.value
         width = len(model.languages)
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
-        memory: dict[int, np.ndarray] = {}
-
-        def unseen(word: int, spelled: bytes) -> np.ndarray:
-            got = memory.get(word)
-            if got is None:
-                if len(memory) >= _REMEMBERED:
-                    memory.clear()
-                got = memory[word] = model.of_unseen(spelled.decode("utf-8", "replace").translate(_ASCII_LOWER))
-            return got
-
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             total = np.zeros((batch.num_rows, width))
@@ -143,13 +195,12 @@ def _predict(shared):
                 if not width or not len(hashes):
                     continue
                 doc = np.repeat(np.arange(first, first + len(counts)), counts)
-                slot = np.minimum(np.searchsorted(model.word_hashes, hashes), max(0, len(model.word_hashes) - 1))
-                seen = model.word_hashes[slot] == hashes if len(model.word_hashes) else np.zeros(len(hashes), bool)
+                seen, slot = _found(model.keys[0], hashes)
                 new, place, back = np.unique(hashes[~seen], return_index=True, return_inverse=True)
                 where = np.flatnonzero(~seen)[place]
-                extra = np.array([unseen(int(h), data[begins[i] : ends[i]].tobytes()) for h, i in zip(new, where, strict=True)])
+                extra = model.of_unseen([data[begins[i] : ends[i]].tobytes() for i in where.tolist()])
                 for k in range(width):
-                    total[:, k] += np.bincount(doc[seen], model.word_scores[slot[seen], k], minlength=batch.num_rows)
+                    total[:, k] += np.bincount(doc[seen], model.scores[0][slot[seen], k], minlength=batch.num_rows)
                     if len(new):
                         total[:, k] += np.bincount(doc[~seen], extra[back, k], minlength=batch.num_rows)
             letters = _has_letter(texts)
@@ -166,9 +217,6 @@ def _predict(shared):
     return run
 
 
-_ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
-
-
 def _has_letter(texts: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     data, where = text_bytes(texts)
@@ -193,5 +241,6 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*[c for c in keep or docs.columns if c not in ("lang_pred", "score")])
     schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    source = docs.select(*plain.columns, F.col(text_col).cast("string").alias("_text"))
+    # by position: the text goes last, whatever names there are
+    source = docs.select(*plain.columns, F.col(text_col).cast("string").alias("score"))
     return source.mapInArrow(_predict(shared), schema)
