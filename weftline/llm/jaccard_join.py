@@ -188,6 +188,7 @@ def _edges(source: DataFrame, summary: DataFrame, size: int, percent: int) -> Da
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast(tuple(_frequent(summary, key) for key in ("shingle", "word")))
     prefixes = source.select("text").mapInArrow(_prefixes(shared, size, percent), "node long, n long, prefix array<long>")
+    prefixes = stored(prefixes, "prefixes")
     entries = prefixes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
 
     # index lists with at least two nodes
@@ -376,8 +377,16 @@ def _across(entries: DataFrame, bases: DataFrame, roots: DataFrame, sets: DataFr
     enough = most * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent
     apart = F.expr("bu <> bv AND ru <> rv AND (bv = main OR u < v)")
     pairs = probe.join(index, ["token", "block"]).where(apart & enough)
-    pairs = pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.least("nu", "nv").alias("n")).agg(F.count_distinct("token").alias("many"))
-    pairs = pairs.where(F.col("many") >= _needed(F.col("n"), percent)).select("u", "v")
+    # one order for a pair, whichever of the two a list's main base spares
+    one, other = (F.when(F.col("u") < F.col("v"), F.struct(a, "n" + a)).otherwise(F.struct(F.col(b).alias(a), F.col("n" + b).alias("n" + a))) for a, b in (("u", "v"), ("v", "u")))
+    pairs = pairs.select(one.alias("_u"), other.alias("_v"), "token").select("_u.*", "_v.*", "token")
+    pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.count_distinct("token").alias("many"))
+    # the prefix that ends first under the order has all common tokens up to there, and the rest
+    # of its set cannot hold more
+    rest = lambda n: F.greatest(F.ceil(F.col(n) * percent / 100) - MEETINGS, F.lit(0))
+    least = F.ceil((F.col("nu") + F.col("nv")) * percent / (100 + percent)) - F.greatest(rest("nu"), rest("nv"))
+    pairs = stored(pairs.where(F.col("many") >= least).select("u", "v"), "candidates")
+    sets = sets.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
     of = lambda name: sets.select(F.col("node").alias(name), F.col("members").alias(f"m{name}"), F.col("n").alias(f"n{name}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("_both", F.size(F.array_intersect("mu", "mv")))
     return both.where(F.col("_both") * 100 >= (F.col("nu") + F.col("nv") - F.col("_both")) * percent).select("u", "v")
