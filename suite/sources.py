@@ -45,6 +45,25 @@ def src03(spark, folder):
     return read(spark, path, "tsv").withColumn("s_suppkey", F.col("s_suppkey").cast("bigint"))
 
 
+@register(
+    "src01_quoted_breaks",
+    """SELECT how, doc_id, text, lang, source, n_chars FROM documents, (VALUES ('csv'), ('tsv')) AS h(how)""",
+)
+def src01_breaks(spark, folder):
+    """Whole texts, line breaks and all, written as delimited text and read again."""
+    documents = load(spark, folder, "documents")
+    path = export(documents, scratch_path(spark, "texts"))
+    ws = _workspace(spark)
+    ws.into("texts_csv", path, "csv")
+    tabbed = scratch_path(spark, "tabbed")
+    documents.write.option("header", "true").option("sep", "\t").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option(
+        "ignoreTrailingWhiteSpace", "false"
+    ).csv(tabbed)
+    both = [ws.table("texts_csv").withColumn("how", F.lit("csv")), read(spark, tabbed, "tsv").withColumn("how", F.lit("tsv"))]
+    wide = [t.selectExpr("how", "cast(doc_id AS BIGINT) AS doc_id", "text", "lang", "source", "cast(n_chars AS BIGINT) AS n_chars") for t in both]
+    return wide[0].unionByName(wide[1])
+
+
 @register(
     "src04_separator_names",
     """SELECT 'pipe' AS how, l_orderkey AS a, cast(l_linenumber AS BIGINT) AS b, l_quantity AS c FROM lineitem

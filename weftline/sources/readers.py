@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.sources.quoted import broken_lines, records
+
 # Format by file extension, after any compression extension.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet"}
 COMPRESSED = (".gz", ".bz2")
@@ -39,16 +41,19 @@ def read(
     regex: str | None = None,
     cols: Sequence[str] = (),
     recursive: bool = False,
+    line_breaks: bool | None = None,
 ) -> DataFrame:
     """One table from a file, directory, glob or list of them.
 
     ``header``: True/False, a list of column names for files without one, or
     None to find out.  ``sep=" "`` means runs of blanks.  ``regex`` with
-    ``cols`` turns unstructured lines into columns.
+    ``cols`` turns unstructured lines into columns.  ``line_breaks`` says whether
+    quoted fields of delimited text may hold line breaks, None to find out, which
+    reads the text once more; such files are still read in splits.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if regex is not None:
-        return read_regex(spark, paths, regex, cols)[0]
+        return read_regex(spark, paths, regex, cols, recursive=recursive)[0]
     if fmt is None:
         fmt = "csv" if sep is not None else detect_format(paths[0])
     elif any(p.lower().endswith(UNREADABLE) for p in paths) and fmt != "parquet":
@@ -67,7 +72,11 @@ def read(
     if sep is None:
         sep = "\t" if fmt == "tsv" else ","
     if sep.isspace() and sep != "\t":
-        return _read_blanks(spark, paths, header, schema)
+        return _read_blanks(spark, paths, header, schema, recursive)
+    if line_breaks is None:
+        line_breaks = broken_lines(spark, paths, recursive)
+    if line_breaks:
+        return _read_records(spark, paths, sep, header, schema, recursive)
     return _read_delimited(spark, paths, sep, header, schema, recursive)
 
 
@@ -101,15 +110,50 @@ def _read_delimited(spark, paths, sep, header, schema, recursive) -> DataFrame:
     return out.toDF(*names)
 
 
+def _read_records(spark, paths, sep, header, schema, recursive) -> DataFrame:
+    """Delimited text with line breaks in quoted fields."""
+    rows, head = records(spark, paths, sep, recursive)
+    reader = _csv(spark, sep, False).option("multiLine", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
+        header = header is None or header is True
+    else:
+        reader = reader.option("inferSchema", "true")
+    if header is None:
+        first = spark.createDataFrame([(head,)], "value string")
+        header = head is not None and _is_header(spark, first, head, rows.where(F.col("value") != head), sep)
+    names = list(header) if isinstance(header, (list, tuple)) else None
+    if header is True and head is not None:
+        # every file repeats it
+        rows = rows.where(F.col("value") != head)
+        if schema is None:
+            names = _parsed(spark, reader.option("header", "true"), spark.createDataFrame([(head,)], "value string")).columns
+    out = _parsed(spark, reader.option("header", "false"), rows)
+    if schema is not None:
+        return out
+    names = names or _names(len(out.columns))
+    if len(names) != len(out.columns):
+        raise ValueError(f"{len(names)} column names for {len(out.columns)} columns")
+    return out.toDF(*names)
+
+
+def _parsed(spark, reader, lines: DataFrame) -> DataFrame:
+    texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(texts), spark)
+
+
 def _has_header(spark, paths, sep, recursive) -> bool:
     """True unless the first line fits the types of all lines after it."""
     lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths)
     head = lines.head()
     if head is None:
         return False
-    reader = _csv(spark, sep, False).option("inferSchema", "true")
     # files of one directory repeat the header; it says nothing about the types
-    first, rest = lines.limit(1), lines.where(F.col("value") != head[0])
+    return _is_header(spark, lines.limit(1), head[0], lines.where(F.col("value") != head[0]), sep)
+
+
+def _is_header(spark, first: DataFrame, head: str, rest: DataFrame, sep: str) -> bool:
+    reader = _csv(spark, sep, False).option("inferSchema", "true")
     top = _infer(reader, spark, first)
     if rest.isEmpty():
         return all(kind == "string" for _, kind in top)
@@ -122,7 +166,7 @@ def _has_header(spark, paths, sep, recursive) -> bool:
     if any(b != "string" for _, b in typed):
         return False
     # all text: a header repeats nowhere below and its names differ
-    names = [v.strip().strip('"') for v in head[0].split(sep)]
+    names = [v.strip().strip('"') for v in head.split(sep)]
     if len(set(names)) < len(names) or not all(re.fullmatch(r"[A-Za-z_][\w ]*", n) for n in names):
         return False
     cells = F.split("value", re.escape(sep))
@@ -131,12 +175,11 @@ def _has_header(spark, paths, sep, recursive) -> bool:
 
 
 def _infer(reader, spark, lines: DataFrame) -> list[tuple[str, str]]:
-    texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-    return DataFrame(reader.option("header", "false")._jreader.csv(texts), spark).dtypes
+    return _parsed(spark, reader.option("header", "false"), lines).dtypes
 
 
-def _read_blanks(spark, paths, header, schema) -> DataFrame:
-    lines = spark.read.text(paths).where(F.trim("value") != "")
+def _read_blanks(spark, paths, header, schema, recursive=False) -> DataFrame:
+    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths).where(F.trim("value") != "")
     parts = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     first = lines.select(parts.alias("p")).head()
     if first is None:
@@ -190,11 +233,11 @@ def group_count(pattern: str) -> int:
 
 
 def read_regex(
-    spark: SparkSession, path: str | Sequence[str], regex: str, cols: Sequence[str]
+    spark: SparkSession, path: str | Sequence[str], regex: str, cols: Sequence[str], *, recursive: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(table, rejects): one column per capture group, and (matched, rejected)
     line counts.  Lines that do not match are counted, not kept."""
-    lines = spark.read.text([path] if isinstance(path, str) else list(path))
+    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text([path] if isinstance(path, str) else list(path))
     return parse_regex(lines, "value", regex, cols)
 
 

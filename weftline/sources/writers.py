@@ -15,6 +15,8 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error", comp
     writer = df.write.format(WRITERS[fmt]).mode(mode)
     if fmt == "csv":
         writer = writer.option("header", "true").option("escape", '"')
+        # else values lose the blanks at their ends
+        writer = writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     if compression:
         writer = writer.option("compression", compression)
     writer.save(path)
