@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.registry import register
-from weftline.operators import clean, compare, stats, timeseries
+from weftline.operators import clean, compare, sketches, stats, timeseries
 from weftline.operators import distribution as dist
-from weftline.session import load
+from weftline.session import load, scratch_path
 
 
 def _rounded(df, digits=6, *cols):
@@ -72,6 +72,24 @@ def sta02_approx(spark, folder):
     return stats.percentiles(load(spark, folder, "lineitem"), "l_extendedprice", [0.5, 0.9, 0.99], ["l_returnflag"], approx=True)
 
 
+@register(
+    "sta02_quantile_sketches",
+    """SELECT l_returnflag, p, count(*) AS n, true AS within_bound
+       FROM lineitem, (VALUES (0.01), (0.25), (0.5), (0.9), (0.999)) AS v(p) GROUP BY ALL""",
+)
+def sta02_sketches(spark, folder):
+    """Sketches kept per month, merged per flag; each value's rank against its p."""
+    items = load(spark, folder, "lineitem").withColumn("month", F.trunc("l_shipdate", "month"))
+    path = scratch_path(spark, "quantile-sketches")
+    sketches.quantile_sketches(items, "l_extendedprice", ["l_returnflag", "month"]).write.parquet(path)
+    merged = sketches.merge_quantile_sketches(spark.read.parquet(path), ["l_returnflag"])
+    found = sketches.sketched_quantiles(merged, [0.01, 0.25, 0.5, 0.9, 0.999], ["l_returnflag"])
+    off = sketches.rank_errors(items, found, "l_extendedprice", ["l_returnflag"])
+    return found.join(off, ["l_returnflag", "p", "value"]).select(
+        "l_returnflag", "p", "n", (F.col("error") <= sketches.QUANTILE_ERROR).alias("within_bound")
+    )
+
+
 @register(
     "sta03_corr",
     """SELECT l_returnflag, count(*) AS n, round(corr(l_quantity, l_extendedprice), 8) AS corr FROM lineitem GROUP BY l_returnflag""",

@@ -9,9 +9,9 @@ from suite.registry import register, register_sql
 from weftline.operators import relational as rel
 from weftline.functions.names import micros
 from weftline.functions.times import epoch_micros
-from weftline.operators import stats, windows
+from weftline.operators import sketches, stats, windows
 from weftline.plans.ordered import framed, trailing_totals
-from weftline.session import load
+from weftline.session import load, scratch_path
 
 # --- projection ------------------------------------------------------------------
 
@@ -154,6 +154,24 @@ def joi05(spark, folder):
     return rel.range_join(points, ranges, "at", "lo", "hi").select("event_id", "o_orderkey")
 
 
+@register(
+    "joi05_fine",
+    """SELECT e.event_id, o.o_orderkey
+       FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE value - floor(value) END AS at FROM events) e
+       JOIN (SELECT o_orderkey, lo, lo + (o_orderkey % 5) * 0.00001 AS hi
+             FROM (SELECT o_orderkey, o_totalprice / 1000 - floor(o_totalprice / 1000) AS lo FROM orders)) o
+         ON e.at BETWEEN o.lo AND o.hi""",
+)
+def joi05_fine(spark, folder):
+    """Fractions, half of the points in one place."""
+    points = load(spark, folder, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 2 = 0 THEN cast(0.5 AS DOUBLE) ELSE value - floor(value) END AS at"
+    )
+    ranges = load(spark, folder, "orders").selectExpr("o_orderkey", "o_totalprice / 1000 - floor(o_totalprice / 1000) AS lo")
+    ranges = ranges.selectExpr("o_orderkey", "lo", "lo + (o_orderkey % 5) * cast(0.00001 AS DOUBLE) AS hi")
+    return rel.range_join(points, ranges, "at", "lo", "hi").select("event_id", "o_orderkey")
+
+
 _ASOF = """
     SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts, v.value AS view_value
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p
@@ -229,6 +247,28 @@ def agg03_approx(spark, folder):
     )
 
 
+@register(
+    "agg03_distinct_sketches",
+    """SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT cast(l_shipdate AS DATE)) AS days,
+              true AS unions_agree, true AS within_bound FROM lineitem GROUP BY l_returnflag""",
+)
+def agg03_sketches(spark, folder):
+    """Sketches kept per day, their union against that of the whole and the exact count."""
+    items = load(spark, folder, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    path = scratch_path(spark, "distinct-sketches")
+    sketches.distinct_sketches(items, "l_orderkey", ["l_returnflag", "day"]).write.parquet(path)
+    daily = spark.read.parquet(path)
+    union = sketches.merge_distinct_sketches(daily, ["l_returnflag"]).withColumnRenamed("sketch", "of_days")
+    # a sketch that no union has touched estimates in another, order-dependent way
+    whole = sketches.distinct_sketches(items, "l_orderkey", ["l_returnflag"]).withColumn("sketch", F.hll_union("sketch", "sketch"))
+    exact = items.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("day").alias("days"))
+    of_days, of_whole = sketches.distinct_estimate("of_days"), sketches.distinct_estimate("sketch")
+    return exact.join(union, "l_returnflag").join(whole, "l_returnflag").select(
+        "l_returnflag", "orders", "days", (of_days == of_whole).alias("unions_agree"),
+        (F.abs(of_days - F.col("orders")) <= sketches.DISTINCT_ERROR * F.col("orders")).alias("within_bound"),
+    )
+
+
 @register(
     "agg04_percentiles",
     """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,

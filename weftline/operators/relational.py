@@ -62,37 +62,57 @@ def asof_join(
     )
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str) -> DataFrame:
-    """Inner join on ``low <= point <= high`` as an equi-join.
-
-    Every range goes to the power-of-two cell size that is at least its length,
-    where it covers at most two cells; every point is looked up once per cell
-    size that occurs.  Numeric or timestamp columns.
+def _ticks(value: Column, kind: str) -> Column:
+    """A long that is ordered as ``value``: equal ticks only for values next to each other."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.least(value.cast("bigint"), F.lit((1 << 63) - 2))
+    # the bits of a double are ordered as its size; the sign bit turns that round
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double")).cast("bigint")
+    sized = F.when(bits < 0, -bits.bitwiseAND(F.lit((1 << 63) - 1))).otherwise(bits)
+    return F.when(value.isNotNull(), sized)
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, depth: int = 4) -> DataFrame:
+    """Inner join on ``low <= point <= high`` as an equi-join on dyadic cells.
+
+    Every range is covered by cells of power-of-two sizes, at most two of a size, the
+    smallest of them 2 ** ``depth`` times smaller than the range; so the points that meet it
+    without lying in it stand within that share of its ends.  Every point is looked up once
+    per cell size that occurs.  Cells are cut from the bits of the values, so they are as
+    fine as the values are: whole numbers, doubles, decimals, timestamps, dates.  Nulls meet
+    nothing; a range whose ``low`` is above its ``high`` is empty.
     """
-    left, right = points, ranges
     kind = kind_of(points, point)
-    if kind.startswith("timestamp"):
-        tick = lambda c: epoch_micros(c, kind)
+    if kind == "date" or kind.startswith("timestamp"):
+        tick = lambda c, of: epoch_micros(c, kind_of(of, c))
     else:
-        tick = lambda c: F.floor(F.col(c)).cast("bigint")
-    span = tick(high) - tick(low)
-    # smallest exponent with 2^level > span
-    level = F.when(span <= 0, F.lit(0)).otherwise(F.length(F.bin(span))).cast("int")
-    leveled = right.where(F.col(low) <= F.col(high)).withColumn("_level", level)
-    # a bigint span has at most 64 exponents, so this list is bounded
-    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect())
-    if not levels:
-        levels = [0]
-
-    shift = lambda value: F.call_function("shiftright", value, F.col("_level"))
-    cells = leveled.withColumn(
-        "_cell", F.explode(F.array_distinct(F.array(shift(tick(low)), shift(tick(high)))))
-    )
-    looked = left.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn(
-        "_cell", shift(tick(point))
+        whole = {"tinyint", "smallint", "int", "bigint"}
+        kinds = {kind, kind_of(ranges, low), kind_of(ranges, high)}
+        common = kind if kinds <= whole else "double"
+        tick = lambda c, of: _ticks(F.col(c), common)
+
+    shift = lambda value, by: F.call_function("shiftright", value, by)
+    span = F.try_subtract(F.col("_high"), F.col("_low"))
+    size = F.when(span.isNull(), F.lit(63)).otherwise(F.length(F.bin(span))).cast("int")
+    ticked = ranges.where(F.col(low) <= F.col(high)).withColumns({"_low": tick(low, ranges), "_high": tick(high, ranges)})
+    ticked = ticked.withColumn("_fine", F.greatest(size - depth, F.lit(0)))
+
+    def cells(k: Column) -> Column:
+        # whole cells of this size between the ends, as far as no larger cell takes them
+        first = -shift(-shift(F.col("_low"), F.col("_fine")), k)
+        end = shift(shift(F.col("_high"), F.col("_fine")) + 1, k)
+        cell = lambda taken, at: F.when((first < end) & taken, F.struct((F.col("_fine") + k).cast("int").alias("_level"), at.alias("_cell")))
+        return F.array(cell(first % 2 != 0, first), cell(end % 2 != 0, end - 1))
+
+    cover = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(depth + 2)), cells)))
+    covered = ticked.select(*ranges.columns, F.explode(cover).alias("_c")).select(*ranges.columns, "_c._level", "_c._cell")
+    # of a long's 64 bits, so this list is bounded
+    levels = sorted(r[0] for r in covered.select("_level").distinct().collect())
+    looked = points.withColumn("_level", F.explode(F.lit(levels or [0]).cast("array<int>"))).withColumn(
+        "_cell", shift(tick(point, points), F.col("_level"))
     )
     inside = (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
-    return looked.join(cells, ["_level", "_cell"]).where(inside).drop("_level", "_cell")
+    return looked.join(covered, ["_level", "_cell"]).where(inside).drop("_level", "_cell")
 
 
 def qualify(df: DataFrame, window: Column, predicate: str, name: str = "_q") -> DataFrame:
