@@ -70,3 +70,13 @@ def merge_distinct_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> Data
 def distinct_estimate(sketch: str | Column = "sketch") -> Column:
     """About how many distinct values a sketch has seen."""
     return F.hll_sketch_estimate(sketch)
+
+
+def alike(one: str, other: str) -> Column:
+    """Whether two sketches have seen the same values, as far as their registers tell.
+
+    Estimates of sketches on their own also depend on the order of what they have seen;
+    those of a union of two do not, so unions are compared.
+    """
+    of = lambda a, b: F.hll_sketch_estimate(F.hll_union(a, b))
+    return (of(one, other) == of(one, one)) & (of(one, other) == of(other, other))
