@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.hashing import ALPHANUMERIC, word_blocks
-from weftline.llm.runs import prepare
+from weftline.llm.runs import free_names, prepare
 
 
 
@@ -101,18 +101,16 @@ def _merge(begins: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
 
 
 def _scan(windows, last: bool):
-    """Adds one block's hits to the running columns of each document."""
+    """Adds one block's hits to the last five columns: text, words, begins and ends of hits, items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: _Windows = windows.value
         for batch in batches:
             n = batch.num_rows
-            columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            *others, text, _, begins, ends, items = batch.columns
             total = np.zeros(n, dtype=np.int64)
-            begins = columns["_hit_begin"].to_pylist()
-            ends = columns["_hit_end"].to_pylist()
-            items = columns["_found"].to_pylist()
-            for first, counts, hashes, *_ in word_blocks(columns["_text"], ALPHANUMERIC):
+            begins, ends, items = begins.to_pylist(), ends.to_pylist(), items.to_pylist()
+            for first, counts, hashes, *_ in word_blocks(text, ALPHANUMERIC):
                 total[first : first + len(counts)] = counts
                 edge = np.concatenate([[0], np.cumsum(counts)])
                 start, window = block.found(hashes, np.repeat(edge[:-1], counts), np.repeat(edge[1:], counts))
@@ -125,13 +123,11 @@ def _scan(windows, last: bool):
                         begins[i] + at.tolist(), ends[i] + (at + block.width[which]).tolist()
                     )
                     numbers = {int(o) for w in np.unique(which) for o in block.owners[w]}
-                    items[i] = sorted({*items[i], *(block.items[o] for o in numbers)})
-            columns["_n_words"] = pa.array(total)
-            for name, values in (("_hit_begin", begins), ("_hit_end", ends), ("_found", items)):
-                columns[name] = pa.array(values, pa.list_(pa.int64()))
-            if last:
-                del columns["_text"]
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                    items[i] = sorted({*items[i], *(block.items[o] for o in numbers if block.items[o] is not None)})
+            made = [pa.array(total), *(pa.array(values, pa.list_(pa.int64())) for values in (begins, ends, items))]
+            names = batch.schema.names
+            columns = [*others, *made] if last else [*others, text, *made]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names[:-5], *names[-4:]] if last else names)
 
     return run
 
@@ -161,11 +157,11 @@ def _frequencies(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> dict
 BLOCK_WORDS = 1_000_000
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     block, words = [], 0
     for row in items.select(F.col(id_col).cast("long"), text_col).toLocalIterator():
         [hashes] = _hashes([row[1]])
-        if row[0] is None or not len(hashes):
+        if not len(hashes):
             continue
         block.append((row[0], hashes))
         words += len(hashes)
@@ -194,8 +190,8 @@ def find_items(
 
     The query set is worked through in blocks of BLOCK_WORDS words, one map-only
     pass each over all documents; documents are never shuffled.  A null or empty
-    text has no words and no hits; an item without words, or with a null id, has no
-    windows.  Repeated rows, and repeated item ids, are each looked at (an id is
+    text has no words and no hits; an item without words has no windows; one with a null
+    id hits as any other, but is not listed.  Repeated rows, and repeated item ids, are each looked at (an id is
     listed once).  An empty ``docs`` or ``items`` is fine.  The columns ``keep``, or all, pass
     through, except that ``n_words``, ``n_hit`` and ``items`` are replaced.
     """
@@ -203,21 +199,23 @@ def find_items(
     prepare(spark)
     keep = [c for c in keep or docs.columns if c not in ("n_words", "n_hit", "items")]
     none = F.array().cast("array<bigint>")
-    work = docs.select(*keep, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n_words"), none.alias("_hit_begin"), none.alias("_hit_end"), none.alias("_found"))
+    text, n_words, begin, end, found = names = free_names(keep, "text", "n_words", "begin", "end", "found")
+    values = (F.col(text_col).cast("string"), F.lit(0).cast("long"), none, none, none)
+    work = docs.select(*keep, *[v.alias(n) for v, n in zip(values, names, strict=True)])
     waiting = None
 
     def scanned(block: list, last: bool) -> DataFrame:
         vocabulary = np.unique(np.concatenate([w for _, w in block])) if block else np.zeros(0, np.uint64)
         windows = _Windows(block, size, _frequencies(docs, text_col, vocabulary))
-        return work.mapInArrow(_scan(spark.sparkContext.broadcast(windows), last), (work.drop("_text") if last else work).schema)
+        return work.mapInArrow(_scan(spark.sparkContext.broadcast(windows), last), (work.drop(text) if last else work).schema)
 
     for block in _item_blocks(items, item_id, item_text):
         if waiting is not None:
             work = scanned(waiting, False)
         waiting = block
     work = scanned(waiting or [], True)  # texts do not come back from the last scan
-    hit = F.aggregate(F.arrays_zip("_hit_begin", "_hit_end"), F.lit(0).cast("long"), lambda a, r: a + r["_hit_end"] - r["_hit_begin"])
-    return work.select(*keep, F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.col("_found").alias("items"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return work.select(*keep, F.col(n_words).alias("n_words"), (total(end) - total(begin)).alias("n_hit"), F.col(found).alias("items"))
 
 
 def is_contaminated(share: int = 20):

@@ -33,6 +33,14 @@ def prepare(spark: SparkSession) -> None:
         given["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, with as many underscores in front that none of ``taken`` is among them."""
+    front, used = "_", {t.lower() for t in taken}
+    while used & {front + n for n in names}:
+        front += "_"
+    return [front + n for n in names]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read again.
 
