@@ -199,21 +199,24 @@ def test_log_templates(spark):
 
 
 def test_chart_layouts(spark):
-    users = spark.createDataFrame([(0, "orange", 6), (1, "lemon", 2), (2, "plum", 2)], "o int, x string, n int")
-    bars = plotdata.bar_layout(plotdata.plot_series(users, "x", ["n"], order=["o"]), 60).orderBy("ord").collect()
-    assert [(r["label"], r["len"]) for r in bars] == [("orange", 42), ("lemon", 14), ("plum", 14)]
-    text = plotdata.plot_series(users, "x", ["n", "x"], order=["o"])
+    # labels take 20 of the 50 columns, the figures 12, so the longest bar has 18
+    sites = [(0, "north", 9.5), (1, "south-west regional office", 4.0), (2, "east", -3.0), (3, "hub", 9.5), (4, "dock", 0.5)]
+    sites = spark.createDataFrame(sites, "o int, x string, n double")
+    bars = plotdata.bar_layout(plotdata.plot_series(sites, "x", ["n"], order=["o"]), 50).orderBy("ord").collect()
+    assert [(r["label"], r["len"]) for r in bars] == [("north", 18), ("south-west regional ", 7), ("east", 0), ("hub", 18), ("dock", 0)]
+    text = plotdata.plot_series(sites, "x", ["n", "x"], order=["o"])
     assert {r["y"] for r in text.where("series = 'x'").collect()} == {0.0}
     assert plotdata.bar_layout(text.where("series = 'x'")).count() == 0
     negative = spark.createDataFrame([("a", -2.0), ("b", 4.0)], "x string, y double")
     assert [r["len"] for r in plotdata.bar_layout(plotdata.plot_series(negative, "x", ["y"])).orderBy("label").collect()] == [0, 67]
-    rate = spark.createDataFrame([(1, 1.0), (2, 4.0), (3, 2.0), (4, 8.0)], "x int, y double")
-    cells = values(plotdata.line_layout(plotdata.plot_series(rate, "x", ["y"], order=["x"]), 40, 10))
-    assert cells == [(0, 31, "●"), (4, 10, "●"), (6, 20, "●"), (7, 0, "●")]
-    two = plotdata.plot_series(rate, "x", ["y", "y + 0"], order=["x"])
-    assert {r["marker"] for r in plotdata.line_layout(two, 40, 10).collect()} == {"○"}
+    # 6 rows and 22 columns of cells; values from -1 to 5, the greatest twice
+    depth = spark.createDataFrame([(1, 3.0), (2, -1.0), (3, 5.0), (4, 5.0), (5, 0.0)], "x int, y double")
+    cells = values(plotdata.line_layout(plotdata.plot_series(depth, "x", ["y"], order=["x"]), 30, 8))
+    assert sorted(cells) == [(0, 10, "●"), (0, 15, "●"), (2, 0, "●"), (5, 5, "●"), (5, 21, "●")]
+    two = plotdata.plot_series(depth, "x", ["y", "y + 0"], order=["x"])
+    assert {r["marker"] for r in plotdata.line_layout(two, 30, 8).collect()} == {"○"}
     with pytest.raises(ValueError):
-        plotdata.plot_series(rate.select("x"))
+        plotdata.plot_series(depth.select("x"))
 
 
 def test_records_of_long_tokens(spark):
