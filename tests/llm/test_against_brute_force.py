@@ -1,6 +1,7 @@
 """Operators against plain versions of what they compute, on the smallest tables."""
 
 import collections
+import itertools
 import hashlib
 import math
 import re
@@ -73,6 +74,32 @@ def test_patterns_place_every_piece(seed):
     assert sum(t for t, _ in plan) <= 1.02 * least + 2
 
 
+@pytest.mark.parametrize("most", [1, 4, 9, 40])
+def test_length_classes_round_up_least(most):
+    rng = np.random.default_rng(most)
+    histogram = {int(n): int(k) for n, k in zip(rng.choice(60, 12, replace=False) + 1, rng.integers(1, 50, 12), strict=True)}
+    got = packing.classes(histogram, most)
+    lengths = sorted(histogram)
+    assert sorted(got) == lengths and len(set(got.values())) <= most
+    if most >= len(lengths):
+        assert got == {n: n for n in lengths}
+
+    def rounded(ends):
+        return sum((next(e for e in ends if e >= n) - n) * k for n, k in histogram.items())
+
+    tries = itertools.combinations(lengths[:-1], min(most, len(lengths)) - 1)
+    assert rounded(sorted(set(got.values()))) == min(rounded([*t, lengths[-1]]) for t in tries)
+
+
+def test_short_documents_are_packed_full(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 2 = 0, '', 'a b c') AS text")
+    import public_tokenizers
+
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(rows) == 20_000 and sum(r.length for r in rows) == 50_000
+    assert len({r.sequence_id for r in rows}) == 25
+
+
 def test_both_tokenizer_libraries_agree():
     import public_tokenizers
 

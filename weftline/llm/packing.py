@@ -1,10 +1,10 @@
 """Packing into fixed-length sequences by cutting-stock column generation.
 
 Documents are tokenised, cut into full sequences and one remainder each.  Only the
-histogram of piece lengths (at most ``classes`` numbers) reaches the driver: a linear
-program over patterns of lengths, whose columns are priced by a knapsack, says which
-lengths to put together and how often.  Pieces, ranked within their length class,
-then look up their sequence.
+histogram of piece lengths (at most ``capacity`` numbers) reaches the driver: a linear
+program over patterns of length classes, whose columns are priced by a knapsack, says
+which lengths to put together and how often.  Pieces, ranked within their length
+class, then look up their sequence.
 """
 
 from __future__ import annotations
@@ -27,40 +27,82 @@ from weftline.llm.runs import prepare, stored
 # --- the linear program -------------------------------------------------------
 
 
+def classes(histogram: dict[int, int], most: int) -> dict[int, int]:
+    """{length: the length that stands for it}: at most ``most`` classes of neighbouring
+    lengths, each as long as its longest, with the least total of ids rounded up.
+
+    Up to ``most`` different lengths stand for themselves.
+    """
+    lengths = sorted(n for n, k in histogram.items() if k)
+    if len(lengths) <= most:
+        return {n: n for n in lengths}
+    size = np.array(lengths, dtype=float)
+    pieces = np.concatenate([[0.0], np.cumsum([histogram[n] for n in lengths])])
+    ids = np.concatenate([[0.0], np.cumsum([n * histogram[n] for n in lengths])])
+    m = len(lengths)
+    # lost[j, i]: ids added where one class holds the lengths i..j
+    lost = size[:, None] * (pieces[1:, None] - pieces[None, :-1]) - (ids[1:, None] - ids[None, :-1])
+    lost[np.triu_indices(m, 1)] = np.inf
+    least, cuts, total = lost[:, 0], [], np.empty_like(lost)
+    for _ in range(most - 1):
+        np.add(np.concatenate([[np.inf], least[:-1]])[None, :], lost, out=total)
+        begin = total.argmin(axis=1)
+        cuts.append(begin)
+        least = total[np.arange(m), begin]
+    out, end = {}, m - 1
+    for begin in [*reversed(cuts), np.zeros(m, dtype=int)]:
+        first = int(begin[end])
+        out |= {n: lengths[end] for n in lengths[first : end + 1]}
+        end = first - 1
+        if end < 0:
+            break
+    return out
+
+
 def _price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The pattern of the largest dual value: an unbounded knapsack over capacities."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fit = int(np.searchsorted(sizes, room, side="right"))
-        if fit:
-            value = best[room - sizes[:fit]] + duals[:fit]
-            k = int(value.argmax())
-            if value[k] > best[room] + 1e-12:
-                best[room], pick[room] = value[k], k
+    """The pattern of the largest dual value: an unbounded knapsack over capacities.
+
+    Each length is offered one, two, four, ... times, so that any number of it can be
+    made up; an offer is weighed for all capacities at once.
+    """
+    best, offers, taken = np.zeros(capacity + 1), [], []
+    for k in np.flatnonzero(duals > 1e-12):
+        times = 1
+        while times * sizes[k] <= capacity:
+            weight = int(times * sizes[k])
+            value = best[:-weight] + times * duals[k]
+            better = value > best[weight:] + 1e-12
+            if better.any():
+                best[weight:][better] = value[better]
+                offers.append((int(k), times, weight))
+                taken.append(better)
+            times *= 2
     pattern, room = np.zeros(len(sizes), dtype=np.int64), capacity
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            pattern[pick[room]] += 1
-            room -= sizes[pick[room]]
+    for (k, times, weight), better in zip(reversed(offers), reversed(taken), strict=True):
+        if room >= weight and better[room - weight]:
+            pattern[k] += times
+            room -= weight
     return float(best[capacity]), pattern
 
 
-def _relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _relaxed(
+    sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, gap: float
+) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, how often each) of the linear program.
 
     Revised simplex from one-length patterns.  Every basis on the way is feasible, so
-    ``rounds`` bounds the work and costs only padding.
+    ``rounds`` bounds the work and costs only padding.  Duals divided by the worth of
+    the best pattern are feasible, so each round says how many sequences any solution
+    needs; it ends within one sequence, or ``gap`` of all, of the most that was needed.
     """
     m = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / (capacity // sizes))
-    level = inverse @ demand
+    level, needed = inverse @ demand, 0.0
     for _ in range(rounds):
         value, pattern = _price(inverse.sum(axis=0), sizes, capacity)
-        if value <= 1 + 1e-9:
+        needed = max(needed, level.sum() / max(value, 1.0))
+        if value <= 1 + 1e-9 or level.sum() - needed <= max(1.0, gap * needed):
             break
         move = inverse @ pattern
         ratio = np.full(m, np.inf)
@@ -77,7 +119,9 @@ def _relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int)
     return columns.astype(np.int64), level
 
 
-def patterns(histogram: dict[int, int], capacity: int, rounds: int = 3000) -> list[tuple[int, dict[int, int]]]:
+def patterns(
+    histogram: dict[int, int], capacity: int, rounds: int = 1500, gap: float = 0.002
+) -> list[tuple[int, dict[int, int]]]:
     """(how often, {length: how many}) so that every piece of the histogram has a place.
 
     The linear program's counts are rounded down; what is left over, fewer than one
@@ -89,7 +133,7 @@ def patterns(histogram: dict[int, int], capacity: int, rounds: int = 3000) -> li
     sizes = np.array(lengths, dtype=np.int64)
     left = np.array([histogram[n] for n in lengths], dtype=np.int64)
     out = []
-    columns, level = _relaxed(sizes, left.astype(float), capacity, rounds)
+    columns, level = _relaxed(sizes, left.astype(float), capacity, rounds, gap)
     for k in np.argsort(-level):
         pattern = columns[:, k]
         used = pattern > 0
@@ -168,8 +212,8 @@ def _encoder(path: str, ranks_path: str | None) -> _Encoder:
     return _Encoder(tokenizer, ranks, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
 
 
-def _cut(path: str, ranks_path: str | None, capacity: int, unit: int, end_id: int):
-    """Pieces of each text, numbered within (task, length class)."""
+def _cut(path: str, ranks_path: str | None, capacity: int, end_id: int):
+    """Pieces of each text, numbered within (task, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(path, ranks_path), TaskContext.get().partitionId()
@@ -182,15 +226,14 @@ def _cut(path: str, ranks_path: str | None, capacity: int, unit: int, end_id: in
                 for start in range(0, n, capacity):
                     piece = ids[start : start + capacity]
                     length = len(piece)
-                    group = -(-length // unit)
-                    rank = given[group] = given.get(group, -1) + 1
-                    rows.append((doc, start, length, zlib.crc32(piece.tobytes()), n, group, part, rank))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 8, names=_PIECE)
+                    rank = given[length] = given.get(length, -1) + 1
+                    rows.append((doc, start, length, zlib.crc32(piece.tobytes()), n, part, rank))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 7, names=_PIECE)
 
     return run
 
 
-_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank"]
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"]
 
 
 def _place(shared):
@@ -215,15 +258,15 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 2048,
-    unit: int = 16,
+    most_classes: int = 128,
     end_id: int = 1,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids, with ``end_id`` behind them, are cut into sequences of
-    ``capacity`` ids; what remains is one piece.  Lengths are rounded up to multiples
-    of ``unit`` for the linear program, so a sequence may lose up to ``unit`` - 1 ids a
-    piece to padding.  ``sequence_id`` counts from 0 without gaps; ``offset`` is gapless
+    ``capacity`` ids; what remains is one piece.  Up to ``most_classes`` different
+    lengths enter the linear program as they are; of more, neighbours share a class as
+    long as its longest, cut so that the least is rounded up (``classes``).  ``sequence_id`` counts from 0 without gaps; ``offset`` is gapless
     from 0 within a sequence.
 
     ``ranks_path`` may name a rank file of the same vocabulary; ids are the same, sooner.
@@ -236,13 +279,19 @@ def pack(
     prepare(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"{c} long" for c in _PIECE)
-    pieces = stored(source.mapInArrow(_cut(tokenizer_path, ranks_path, capacity, unit, end_id), schema), "pieces")
-    by_part = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("class").orderBy("part")
-    by_part = stored(by_part.withColumn("before", F.sum("n").over(before) - F.col("n")), "ranks")
-    histogram = {r["class"]: r["n"] for r in by_part.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.sparkContext.broadcast(Slots.of(patterns(histogram, capacity // unit)))
-    ranked = pieces.join(by_part.drop("n"), ["class", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
+    pieces = stored(source.mapInArrow(_cut(tokenizer_path, ranks_path, capacity, end_id), schema), "pieces")
+    # at most one row a task and length
+    by_part = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
+    histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    class_of = classes(histogram, most_classes)
+    demand: dict[int, int] = {}
+    for length, n in histogram.items():
+        demand[class_of[length]] = demand.get(class_of[length], 0) + n
+    slots = spark.sparkContext.broadcast(Slots.of(patterns(demand, capacity)))
+    named = spark.createDataFrame(list(class_of.items()), "length long, class long")
+    before = Window.partitionBy("class").orderBy("length", "part")
+    starts = by_part.join(named, "length").withColumn("before", F.sum("n").over(before) - F.col("n")).drop("n")
+    ranked = pieces.join(starts, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
     placed = ranked.mapInArrow(_place(slots), ranked.withColumn("sequence_id", F.lit(0).cast("long")).schema)
     # a sequence holds at most ``capacity`` pieces
     earlier = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1)
