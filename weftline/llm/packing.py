@@ -85,20 +85,48 @@ def _price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
+def _largest_first(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis and its inverse: the largest lengths left fill a pattern, which is
+    used until one of them is used up.  Column k is the pattern that used up length k.
+
+    No pattern holds a length that is used up, so in the order of using up the basis is
+    triangular, and its inverse needs no general solver.
+    """
+    order = []
+    columns, left, active = np.zeros((len(sizes), len(sizes))), demand.copy(), np.ones(len(sizes), dtype=bool)
+    for _ in sizes:
+        pattern, room = np.zeros(len(sizes)), capacity
+        for i in np.flatnonzero(active)[::-1]:
+            pattern[i] = room // sizes[i]
+            room -= int(pattern[i]) * int(sizes[i])
+        used = np.flatnonzero(pattern)
+        times = left[used] / pattern[used]
+        gone = used[times.argmin()]
+        left = np.maximum(left - times.min() * pattern, 0.0)
+        columns[:, gone], active[gone] = pattern, False
+        order.append(gone)
+    inverse = np.zeros_like(columns)
+    for k, gone in enumerate(order):
+        earlier = order[:k]
+        row = -(columns[gone, earlier][:, None] * inverse[earlier]).sum(axis=0)
+        row[gone] += 1.0
+        inverse[gone] = row / columns[gone, gone]
+    return columns, inverse
+
+
 def _relaxed(
     sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, gap: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, how often each) of the linear program.
 
-    Revised simplex from one-length patterns.  Every basis on the way is feasible, so
+    Revised simplex from the largest-first patterns.  Every basis on the way is feasible, so
     ``rounds`` bounds the work and costs only padding.  Duals divided by the worth of
     the best pattern are feasible, so each round says how many sequences any solution
     needs; it ends within one sequence, or ``gap`` of all, of the most that was needed.
     """
     m = len(sizes)
-    columns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1.0 / (capacity // sizes))
-    level, needed = inverse @ demand, 0.0
+    columns, inverse = _largest_first(sizes, demand, capacity)
+    level, needed = np.maximum(inverse @ demand, 0.0), 0.0
     for _ in range(rounds):
         value, pattern = _price(inverse.sum(axis=0), sizes, capacity)
         needed = max(needed, level.sum() / max(value, 1.0))
