@@ -110,12 +110,12 @@ register_sql(
               array_contains(transform(embedding, x -> x > 0), true) AS flag FROM embeddings
        UNION ALL
        SELECT vec_id, 'each', pos, round(cast(x AS DOUBLE), 6), x > 0
-       FROM (SELECT vec_id, posexplode(slice(sort_array(embedding), 1, 5)) AS (pos, x) FROM embeddings)""",
+       FROM (SELECT vec_id, posexplode(sort_array(embedding)) AS (pos, x) FROM embeddings)""",
     """SELECT vec_id, 'all' AS what, cast(len(embedding) AS BIGINT) AS n, round(cast(list_max(embedding) AS DOUBLE), 6) AS v,
               list_contains(list_transform(embedding, lambda x: x > 0), true) AS flag FROM embeddings
        UNION ALL
        SELECT vec_id, 'each', pos - 1, round(cast(x AS DOUBLE), 6), x > 0
-       FROM (SELECT vec_id, unnest(list_sort(embedding)[1:5]) AS x, generate_subscripts(list_sort(embedding)[1:5], 1) AS pos FROM embeddings) t""",
+       FROM (SELECT vec_id, unnest(list_sort(embedding)) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) t""",
 )
 register_sql(
     "scl11_map_struct",

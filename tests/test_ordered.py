@@ -166,3 +166,36 @@ def test_all_points_of_a_chart(skewed):
     some = plotdata.plot_series(skewed, "id", ["v"], limit=300, order=["id"])
     every = plotdata.plot_series(skewed, "id", ["v"], limit=None, order=["id"])
     assert rows(some) == rows(every)
+
+
+@pytest.mark.parametrize("frame_rows", [0, 10**6])
+def test_rows_without_a_time_frame_each_other(spark, frame_rows):
+    df = spark.createDataFrame(
+        [("a", None, 1), ("a", None, 2), ("a", 5, 4), ("a", 6, 8), ("b", None, None), ("b", 1, 16)], "k string, t long, v long"
+    )
+    got = ordered.trailing_totals(df, ["k"], "t", "v", back=1, frame_rows=frame_rows)
+    assert sorted((r.k, r.t or -1, r.v or -1, r.frame_sum, r.frame_count) for r in got.collect()) == [
+        ("a", -1, 1, 3, 2), ("a", -1, 2, 3, 2), ("a", 5, 4, 4, 1), ("a", 6, 8, 12, 2), ("b", -1, -1, None, 0), ("b", 1, 16, 16, 1),
+    ]
+
+
+def test_moving_avg_has_one_type(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS ts, cast(id / 3 AS decimal(10, 2)) AS v FROM range(20)")
+    few, many = (timeseries.moving_avg(df, "ts", "v", rows=n) for n in (10, 300))
+    assert dict(few.dtypes)["moving_avg"] == dict(many.dtypes)["moving_avg"] == "double"
+
+
+def test_a_long_gap_is_filled_in_runs(spark, monkeypatch):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s) AS ts FROM VALUES (0), (1), (997), (1000) AS t(s)")
+    aggs = {"n": F.count(F.lit(1))}
+    want = rows(timeseries.bucket(df, "ts", "1 second", aggs, fill=True))
+    monkeypatch.setattr(timeseries, "FILL_RUNS", (100, 7, 1))
+    got = timeseries.bucket(df, "ts", "1 second", aggs, fill=True)
+    # 100 is no multiple of 7: runs end at the run around them
+    assert rows(got) == want and got.count() == 1001 and got.select("bucket").distinct().count() == 1001
+
+
+def test_histogram_edges_are_finite(spark):
+    df = spark.sql("SELECT cast(v AS double) AS v FROM VALUES ('NaN'), ('Infinity'), ('-Infinity'), ('0'), ('1'), ('4'), (NULL) AS t(v)")
+    got = [(r.lo, r.hi, r.n) for r in distribution.hist(df, "v", 2).orderBy("bin").collect()]
+    assert got == [(0.0, 2.0, 2), (2.0, 4.0, 1)]

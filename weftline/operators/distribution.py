@@ -18,7 +18,9 @@ TAIL_WINDOW = 100_000
 
 def _bounds(df: DataFrame, col: str, lo: float | None, hi: float | None) -> tuple[float, float] | None:
     if lo is None or hi is None:
-        seen = df.agg(F.min(F.col(col).cast("double")), F.max(F.col(col).cast("double"))).head()
+        x = F.col(col).cast("double")
+        finite = F.when(F.abs(x) < F.lit(math.inf), x)
+        seen = df.agg(F.min(finite), F.max(finite)).head()
         lo = seen[0] if lo is None else lo
         hi = seen[1] if hi is None else hi
     return None if lo is None or hi is None else (float(lo), float(hi))
@@ -39,7 +41,10 @@ def _edges(bins: int, lo: float, hi: float) -> tuple[Column, Column]:
 
 
 def hist(df: DataFrame, col: str, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """(bin, lo, hi, n) for every bin, empty ones with 0."""
+    """(bin, lo, hi, n) for every bin, empty ones with 0.
+
+    NaN and infinities set no edge and are in no bin, nor are values outside ``lo`` and ``hi``.
+    """
     spark = df.sparkSession
     if bins < 1:
         raise ValueError("bins must be at least 1")

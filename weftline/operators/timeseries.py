@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from weftline.functions.names import micros
@@ -14,6 +14,8 @@ from weftline.plans.ordered import framed, scan, trailing_totals
 
 # rows above which a sliding frame, evaluated afresh per row, costs too much
 LONG_FRAME = 256
+# buckets that one row is spun out to at a time; a gap goes through the runs of each size
+FILL_RUNS = (1_000_000, 1_000, 1)
 
 
 def bucket_start(ts: str, width: str, kind: str = "timestamp_ntz") -> Column:
@@ -37,7 +39,8 @@ def bucket(
 
     ``fill`` adds the missing buckets of every key between the first and last
     bucket of the whole table, with NULL aggregates.  They are spun out of the
-    gap that each existing bucket leaves, so there is no keys-by-time grid.
+    gap that each existing bucket leaves, so there is no keys-by-time grid.  A gap is
+    cut into runs before it is spun out: no row holds an array of a gap's length.
     """
     by, w = list(by), micros(width)
     kind = kind_of(df, ts)
@@ -62,7 +65,10 @@ def bucket(
     )
     begin = F.when(F.col("_prev").isNull(), F.lit(first)).otherwise(F.col("_b"))
     stop = F.coalesce(F.col("_next") - w, F.lit(last))
-    spun = near.withColumn("_f", F.explode(F.sequence(begin, stop, F.lit(w))))
+    spun = near.withColumn("_f", begin).withColumn("_upto", stop)
+    for run in FILL_RUNS:
+        spun = spun.withColumn("_f", F.explode(F.sequence("_f", "_upto", F.lit(w * run))))
+        spun = spun.withColumn("_upto", F.least("_upto", F.col("_f") + F.lit(w * (run - 1))))
     real = F.col("_f") == F.col("_b")
     return spun.select(
         from_micros(F.col("_f"), kind).alias("bucket"), *by, *[F.when(real, F.col(n)).alias(n) for n in names]
@@ -95,6 +101,14 @@ def event_rate(df: DataFrame, ts: str, width: str, by: Sequence[str] = ()) -> Da
     return out.withColumn("per_second", F.col("n") / F.lit(micros(width) / 1e6))
 
 
+def _last(window: WindowSpec, rows: int) -> WindowSpec:
+    return window.rowsBetween(-(rows - 1), 0)
+
+
+def _mean(total: Column, count: Column) -> Column:
+    return F.try_divide(total.cast("double"), count)
+
+
 def moving_avg(
     df: DataFrame,
     ts: str,
@@ -107,7 +121,8 @@ def moving_avg(
     name: str = "moving_avg",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Adds the trailing mean over the last ``rows`` rows or the last ``range`` of time."""
+    """Adds the trailing mean over the last ``rows`` rows or the last ``range`` of time,
+    a double at every length.  Rows without a time are each other's frame in a range."""
     if (rows is None) == (range is None):
         raise ValueError("give either rows= or range=")
     if rows is not None and rows <= LONG_FRAME:
@@ -115,7 +130,7 @@ def moving_avg(
             df,
             by,
             [ts, *(tie or [value])],
-            lambda w: {name: F.avg(value).over(w.rowsBetween(-(rows - 1), 0))},
+            lambda w: {name: _mean(F.sum(value).over(_last(w, rows)), F.count(value).over(_last(w, rows)))},
             back=rows - 1,
             hot_rows=hot_rows,
         )
@@ -127,8 +142,7 @@ def moving_avg(
         ticked = df.withColumn("_tick", epoch_micros(ts, kind_of(df, ts)))
         back = micros(range)
     out = trailing_totals(ticked, by, "_tick", value, back=back, hot_rows=hot_rows)
-    mean = F.try_divide(F.col("frame_sum").cast("double"), F.col("frame_count"))
-    return out.select(*df.columns, mean.alias(name))
+    return out.select(*df.columns, _mean(F.col("frame_sum"), F.col("frame_count")).alias(name))
 
 
 def series_of(df: DataFrame, ts: str, width: str, value: Column) -> tuple[DataFrame, int]:

@@ -249,7 +249,8 @@ def trailing_totals(
     frame length.  Where frames are long this uses tiles as wide as the frame
     instead: a frame is the end of one tile plus the start of the next, so a
     running total from each side of a tile gives every frame in one pass, with
-    nothing subtracted.  Rows of equal key and time are summed first.
+    nothing subtracted.  Rows of equal key and time are summed first.  Rows without a
+    time have the key's rows without a time as their frame, as in SQL, on both ways.
     """
     by, (total, count) = list(by), names
     width = back + 1
@@ -282,5 +283,8 @@ def trailing_totals(
     frames = starts.unionByName(rests).groupBy(*by, "_t").agg(
         F.sum("_s").alias(total), F.coalesce(F.sum("_n"), F.lit(0)).alias(count)
     )
-    joined = _match(df.withColumn("_t", F.col(ticks)), frames, [*by, "_t"])
+    timeless = df.where(F.col(ticks).isNull()).groupBy(*by, F.col(ticks).alias("_t")).agg(
+        F.sum(col).alias(total), F.count(col).alias(count)
+    )
+    joined = _match(df.withColumn("_t", F.col(ticks)), frames.unionByName(timeless), [*by, "_t"])
     return joined.select(*df.columns, total, count)
