@@ -75,16 +75,38 @@ def lin06(spark, folder):
     )
 
 
+@register(
+    "lin04_deep_chain",
+    """SELECT p_partkey AS node, cast(p_partkey - (SELECT min(p_partkey) FROM part) AS INT) AS depth
+       FROM part WHERE p_partkey > (SELECT min(p_partkey) FROM part)""",
+)
+def lin04_deep(spark, folder):
+    """A lineage as deep as the table is long: every key stands on the one before."""
+    keys = load(spark, folder, "part").select(F.col("p_partkey").alias("child"))
+    chain = keys.withColumn("parent", F.col("child") - 1)
+    return lineage.descendants(chain, keys.agg(F.min("child")).head()[0])
+
+
+# commands that name the parent as a table, in a literal, as an alias and before a column
+_COMMAND = "'SELECT ' || chr(39) || {old} || chr(39) || ' AS ' || {old} || ', ' || {new} || '.x FROM ' || {new} || ' -- ' || {old}"
+
+
 @register(
     "lin07_clone_subtree",
     _DOWN.format(root=4)
-    + """ SELECT 'node' AS what, node || '_copy' AS a, 'SELECT * FROM n' || (node // 2) AS b FROM d
-          UNION ALL SELECT 'edge', e.child || '_copy',
-                           CASE WHEN e.parent IN (SELECT node FROM d) THEN e.parent || '_copy' ELSE e.parent || '' END
-          FROM e WHERE e.child IN (SELECT node FROM d)""",
+    + """, named AS (SELECT 'n' || node AS name, 'n' || (node // 2) AS old, CASE WHEN node = 4 THEN 'n2' ELSE 'n' || (node // 2) || '_copy' END AS new FROM d)
+        SELECT 'node' AS what, name || '_copy' AS a, """
+    + _COMMAND.format(old="old", new="new")
+    + """ AS b FROM named
+          UNION ALL SELECT 'edge', name || '_copy', new FROM named""",
 )
 def lin07(spark, folder):
-    nodes, edges = lineage.clone_subtree(*_graph(spark, folder), 4)
+    nodes, edges = _graph(spark, folder)
+    parent = "'n' || (name div 2)"
+    nodes = nodes.withColumn("command", F.expr(_COMMAND.format(old=parent, new=parent)))
+    nodes = nodes.withColumn("name", F.expr("'n' || name"))
+    edges = edges.selectExpr("'n' || child AS child", "'n' || parent AS parent")
+    nodes, edges = lineage.clone_subtree(nodes, edges, "n4")
     return nodes.select(F.lit("node").alias("what"), F.col("name").alias("a"), F.col("command").alias("b")).union(
         edges.select(F.lit("edge"), "child", "parent")
     )
@@ -101,6 +123,26 @@ def lin08(spark, folder):
     return lineage.tree(*_graph(spark, folder))
 
 
+# every node k is made from k / 2 and from (k + 1) / 2, so diamonds stand on diamonds: the
+# ways down double with the depth, the compact list does not
+@register(
+    "lin08_compact_tree",
+    """WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey >= 2
+                            UNION SELECT p_partkey, least((p_partkey + 1) // 2, p_partkey - 1) FROM part WHERE p_partkey >= 2),
+          lev AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.child, depth + 1 FROM e JOIN lev ON e.parent = lev.node),
+          least AS (SELECT node, min(depth) AS depth FROM lev GROUP BY node)
+       SELECT e.child AS node, cast(p.depth + 1 AS INT) AS depth,
+              p.depth + 1 = c.depth AND e.parent = min(e.parent) FILTER (p.depth + 1 = c.depth) OVER (PARTITION BY e.child) AS listed
+       FROM e JOIN least p ON e.parent = p.node JOIN least c ON e.child = c.node
+       UNION ALL SELECT 1, 0, true""",
+)
+def lin08_compact(spark, folder):
+    nodes, edges = _graph(spark, folder)
+    second = edges.selectExpr("child", "least((child + 1) div 2, child - 1) AS parent")
+    listed = lineage.tree(nodes, edges.union(second).distinct(), compact=True)
+    return listed.select("node", "depth", (F.col("note") == "").alias("listed"))
+
+
 # --- query texts ------------------------------------------------------------------------
 
 # six shapes of text over tables numbered from the order, so refs are known
@@ -234,6 +276,24 @@ def wsp06(spark, folder):
     return _sizes(again)
 
 
+@register(
+    "wsp06_saved",
+    _COUNTS + " UNION ALL SELECT 'steps', 7",
+)
+def wsp06_saved(spark, folder):
+    """Saved, then loaded by a session that knows none of the views."""
+    ws = _flow(spark, folder)
+    ws.freeze("big")
+    ws.mark_dirty("weftline_buyers")
+    path = scratch_path(spark, "workspace")
+    ws.save(path)
+    other = spark.newSession()
+    load_views(other, folder, "orders")
+    again = Workspace.load(other, path)
+    steps = again.steps().agg(F.count(F.lit(1)).alias("n")).select(F.lit("steps").alias("name"), "n")
+    return _sizes(again).union(steps)
+
+
 @register(
     "wsp07_catalog",
     """SELECT column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'int'

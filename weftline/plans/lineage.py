@@ -1,9 +1,10 @@
 """The lineage graph as two DataFrames, and operators over it.
 
-nodes(name, kind, status, command, ...) and edges(child, parent).  Walks go one
-generation per round: a join of the frontier with the edges, less what was seen.
-Each round is written to the shared folder, so the plan stays short and a lost
-executor costs one round at most; a small round stays a local relation instead.
+nodes(name, kind, status, command, ...) and edges(child, parent).  Walks go in
+rounds: a join of the frontier with the edges, less what was seen, and edges that
+get longer round by round where the graph is a chain or a tree.  Each round is
+written to the shared folder, so the plan stays short and a lost executor costs
+one round at most; a small round stays a local relation instead.
 """
 
 from __future__ import annotations
@@ -115,7 +116,45 @@ def unknown_refs(refs: DataFrame, known: DataFrame, ref: str = "ref", name: str
 # --- walks ----------------------------------------------------------------------
 
 
+PLAIN_ROUNDS = 3
+
+
+def _pointers(step: DataFrame) -> DataFrame:
+    """(_side, _node, _next, _steps): the only way into a node (side 0) and the
+    only way out of one (side 1), where there is just one."""
+    inward = step.groupBy(F.col("_to").alias("_node")).agg(F.min("_from").alias("_next"), F.max("_from").alias("_last"))
+    outward = step.groupBy(F.col("_from").alias("_node")).agg(F.min("_to").alias("_next"), F.max("_to").alias("_last"))
+    both = inward.withColumn("_side", F.lit(0)).unionByName(outward.withColumn("_side", F.lit(1)))
+    return both.where("_next = _last and _next != _node").select("_side", "_node", "_next", F.lit(1).alias("_steps"))
+
+
+def _doubled(pointers: DataFrame) -> DataFrame:
+    """Pointers twice as far, where the way goes on."""
+    far = pointers.select("_side", F.col("_node").alias("_next"), F.col("_next").alias("_far"), F.col("_steps").alias("_more"))
+    return pointers.join(far, ["_side", "_next"]).select(
+        "_side", "_node", F.col("_far").alias("_next"), (F.col("_steps") + F.col("_more")).alias("_steps")
+    )
+
+
+def _shortcuts(pointers: DataFrame) -> DataFrame:
+    """Pointers as edges of the walk: (_from, _to, _steps)."""
+    into = F.col("_side") == 0
+    return pointers.select(
+        F.when(into, F.col("_next")).otherwise(F.col("_node")).alias("_from"),
+        F.when(into, F.col("_node")).otherwise(F.col("_next")).alias("_to"),
+        "_steps",
+    )
+
+
 def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> DataFrame:
+    """(node, depth) of all that the roots lead to, at its least depth.
+
+    The first rounds take one generation each.  From then on each round also
+    doubles pointers along nodes with one way in or one way out and walks the
+    longer edges so made, so a chain of n nodes takes about log2(n) rounds.  A
+    node found again by a shorter way goes on from there once more; nothing is
+    left to walk when no depth falls any further.
+    """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)[source]
     step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where(
@@ -123,19 +162,38 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
     )
     # read once: every round joins it
     step, _ = settle(step)
+    ways = step.withColumn("_steps", F.lit(1))
     start = spark.createDataFrame([(r,) for r in roots], f"node {kind}").select("node", F.lit(0).alias("depth"))
     frontier, _ = settle(start.distinct())
-    seen, depth = frontier, 0
+    seen, pointers, rounds = frontier, None, 0
     while True:
-        depth += 1
-        reached = step.join(frontier, F.col("_from") == F.col("node"), "left_semi").select(F.col("_to").alias("node"))
-        fresh = reached.distinct().join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
+        rounds += 1
+        found = _reached(ways, frontier)
+        # an int holds what thirty doublings reach
+        if PLAIN_ROUNDS < rounds <= PLAIN_ROUNDS + 30:
+            if pointers is None:
+                pointers, _ = settle(_pointers(step))
+            pointers, more = settle(_doubled(pointers))
+            if more != 0:
+                longer = _shortcuts(pointers)
+                found = found.union(_reached(longer, seen))
+                ways = ways.union(longer)
+        known = seen.groupBy("node").agg(F.min("depth").alias("_known"))
+        fresh = (
+            found.groupBy("node").agg(F.min("depth").alias("depth")).join(known, "node", "left")
+            .where("_known is null or depth < _known").select("node", "depth")
+        )
         frontier, count = settle(fresh)
-        if count == 0:
-            return seen.where("depth > 0")
+        if count == 0 or (count is None and frontier.isEmpty()):
+            return seen.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0")
         seen = seen.union(frontier)
-        if depth % 16 == 0:
-            seen, _ = settle(seen)
+        if rounds % 8 == 0:
+            seen, _ = settle(seen.groupBy("node").agg(F.min("depth").alias("depth")))
+
+
+def _reached(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    ends = ways.join(nodes, F.col("_from") == F.col("node"))
+    return ends.select(F.col("_to").alias("node"), (F.col("depth") + F.col("_steps")).alias("depth"))
 
 
 def descendants(edges: DataFrame, root, *more) -> DataFrame:
@@ -173,13 +231,30 @@ def remove_subtree(nodes: DataFrame, edges: DataFrame, root) -> tuple[DataFrame,
     return kept_nodes, kept_edges, removed
 
 
+# a literal or a comment, or what stands between them
+_PIECES = r"(?s)'[^']*+(?:''[^']*+)*+'?|--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?|(?:[^'\-/]++|-(?!-)|/(?!\*))++"
+
+
+def _renamed(text: Column, name: Column, suffix: str) -> Column:
+    """``text``, free of literals, with the table ``name`` given the suffix."""
+    word = F.concat(F.lit(r"\Q"), name, F.lit(r"\E(?![\w.])"))
+    new = F.concat(F.lit("${h}"), F.regexp_replace(F.concat(name, F.lit(suffix)), r"([\\$])", r"\\$1"))
+    opened = F.lit(r"(?i)(?<h>\b(?:from|join|into|table|exists)\s++\(*+\s*+)")
+    listed = F.lit(rf"(?i)(?<h>\bfrom\s(?:(?!\b(?:{'|'.join(_STOP)})\b)[^()])*?,\s*+)")
+    before = F.concat(F.lit(r"(?<h>)(?<![\w.])\Q"), name, F.lit(r"\E(?=\s*+\.)"))
+    out = F.regexp_replace(text, F.concat(opened, word), new)
+    out = F.regexp_replace(out, F.concat(listed, word), new)
+    return F.regexp_replace(out, before, new)
+
+
 def clone_subtree(
     nodes: DataFrame, edges: DataFrame, root, suffix: str = "_copy"
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the copies alone: names get the suffix, parents inside
     the subtree too, parents outside stay, status is Empty.
 
-    A ``command`` column is rewritten to the new names, so that copies run.
+    A ``command`` column is rewritten to the new names, so that copies run: where
+    a table is named and before its columns, not in literals, comments or aliases.
     """
     inside, _ = settle(_subtree(nodes, edges, root))
     member = inside.select(F.col("node").alias("_in"))
@@ -202,21 +277,32 @@ def clone_subtree(
         )
         out = out.join(renamed, "name", "left")
         names = F.array_append(F.coalesce("_names", F.array().cast("array<string>")), F.col("name").cast("string"))
-        word = lambda n: F.concat(F.lit(r"(?<![\w.])\Q"), n, F.lit(r"\E(?!\w)"))
-        rewritten = F.aggregate(
-            names, F.col("command"), lambda acc, n: F.regexp_replace(acc, word(n), F.concat(n, F.lit(suffix)))
+        rewritten = F.array_join(
+            F.transform(
+                F.regexp_extract_all("command", F.lit(_PIECES), F.lit(0)),
+                lambda piece: F.when(piece.rlike(r"^(?:'|--|/\*)"), piece).otherwise(
+                    F.aggregate(names, piece, lambda text, n: _renamed(text, n, suffix))
+                ),
+            ),
+            "",
         )
         out = out.withColumn("command", rewritten).select(*nodes.columns)
     out = out.withColumn("name", F.concat(F.col("name").cast("string"), F.lit(suffix))).withColumn("status", F.lit("Empty"))
     return out, new_edges.select("child", "parent")
 
 
-def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def tree(nodes: DataFrame, edges: DataFrame, compact: bool = False) -> DataFrame:
     """(path, node, depth, note): every way down from the roots, depth first by path.
 
     A node with several parents is listed under each.  ``note`` is ``orphan``
     for a node listed at the top because a parent is missing, and ``cycle`` for
     one that no root leads to.
+
+    Diamonds double the ways down: twenty in a row give a million paths to the
+    last node.  With ``compact`` a node's descendants are listed once, where it
+    is nearest to a root (of several such places at the least path); under its
+    other parents there is one row with the note ``see <that path>``.  Rows are
+    then at most as many as nodes and edges.
     """
     names = nodes.select(F.col("name").alias("node")).distinct()
     known = edges.join(names.withColumnRenamed("node", "_p"), F.col("parent") == F.col("_p"), "left")
@@ -234,20 +320,35 @@ def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         rounds += 1
         below = level.join(step, level["node"] == step["parent"]).where(~F.array_contains("path", F.col("_c")))
-        level, count = settle(
-            below.select(
-                F.array_append("path", F.col("_c")).alias("path"),
-                F.col("_c").alias("node"),
-                (F.col("depth") + 1).alias("depth"),
-                F.lit("").alias("note"),
-            )
+        found = below.select(
+            F.array_append("path", F.col("_c")).alias("path"),
+            F.col("_c").alias("node"),
+            (F.col("depth") + 1).alias("depth"),
+            F.lit("").alias("note"),
         )
-        if count == 0:
+        if compact:
+            # only where a node is met first do its own children follow
+            fresh = found.join(listed.select("node"), "node", "left_anti")
+            found = fresh.groupBy("node").agg(F.min_by(F.struct("path", "depth", "note"), "path").alias("_at")).select("_at.path", "node", "_at.depth", "_at.note")
+        level, count = settle(found)
+        if count == 0 or (count is None and level.isEmpty()):
             break
         listed = listed.union(level)
         if rounds % 16 == 0:
             listed, _ = settle(listed)
+    if compact:
+        listed, _ = settle(listed)
+        listed = listed.union(_further_parents(listed, step))
     lost = names.join(listed.select("node").distinct(), "node", "left_anti").select(
         F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit("cycle").alias("note")
     )
     return listed.union(lost).orderBy("path").select(F.array_join(F.col("path").cast("array<string>"), " / ").alias("path"), "node", "depth", "note")
+
+
+def _further_parents(listed: DataFrame, step: DataFrame) -> DataFrame:
+    """One row for each edge that the listed tree leaves out, ways back up excepted."""
+    home = listed.select(F.col("node").alias("_c"), F.col("path").alias("_home"))
+    under = listed.join(step, listed["node"] == step["parent"]).where(~F.array_contains("path", F.col("_c")))
+    rows = under.select(F.array_append("path", F.col("_c")).alias("path"), "_c", (F.col("depth") + 1).alias("depth")).join(home, "_c")
+    see = F.concat(F.lit("see "), F.array_join(F.col("_home").cast("array<string>"), " / "))
+    return rows.where("path != _home").select("path", F.col("_c").alias("node"), "depth", see.alias("note"))

@@ -14,11 +14,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions.names import quoted
 from weftline.operators.plotdata import plot_series
-from weftline.plans.references import references, split_ctas
+from weftline.plans.references import references, split_ctas, with_tables_renamed
 from weftline.sources.readers import read
 from weftline.sources.writers import export
 
@@ -29,6 +30,9 @@ NODE_SCHEMA = (
     "seconds double, last_run_at timestamp, frozen boolean, command string, error string"
 )
 
+FORMAT = 1
+MANIFEST_SCHEMA = "ord int, part string, body string"
+
 
 @dataclass
 class Node:
@@ -64,12 +68,13 @@ class Workspace:
             raise KeyError(f"no node named {name!r}")
         return self._nodes[name]
 
-    def _put(self, node: Node) -> Node:
+    def _put(self, node: Node, record: bool = True) -> Node:
         """Add a node, replacing its namesake; what was built on that turns Dirty."""
         replaced = node.name in self._nodes
         self._nodes.pop(node.name, None)
         self._nodes[node.name] = node
-        self._steps.append(node.step)
+        if record:
+            self._steps.append(dict(node.step))
         if replaced:
             self._mark_below(node.name)
         return node
@@ -194,6 +199,7 @@ class Workspace:
     def mark_dirty(self, name: str) -> list[str]:
         """All descendants of a changed node turn Dirty."""
         self[name]
+        self._steps.append({"verb": "mark_dirty", "name": name})
         return self._mark_below(name)
 
     def run(self, name: str | None = None) -> list[str]:
@@ -224,6 +230,7 @@ class Workspace:
             except Exception as problem:  # noqa: BLE001 - any failure belongs to the node
                 node.status, node.error = ERROR, str(problem).splitlines()[0]
                 failed.add(node.name)
+        self._steps.append({"verb": "run", "name": name})
         return done
 
     def _below_of(self, node: Node) -> list[str]:
@@ -278,6 +285,7 @@ class Workspace:
             self._view(name, f"SELECT * FROM {quoted(kept)}")
         node.frozen = True
         self._ran(node, started)
+        self._steps.append({"verb": "freeze", "name": name})
         return node.rows
 
     @staticmethod
@@ -292,6 +300,7 @@ class Workspace:
         if node.kind == "query":
             self._view(name, node.step["query"])
         node.status, node.rows, node.frozen = EMPTY, None, False
+        self._steps.append({"verb": "trim", "name": name})
         self._mark_below(name)
 
     def _drop(self, node: Node) -> None:
@@ -318,12 +327,6 @@ class Workspace:
         self[name]
         names = self._below(name)
         rename = {n: n + suffix for n in names}
-
-        def text(query: str) -> str:
-            for old, new in sorted(rename.items(), key=lambda kv: -len(kv[0])):
-                query = re.sub(rf"(?<![\w.]){re.escape(old)}(?!\w)", new, query, flags=re.IGNORECASE)
-            return query
-
         for old in names:
             node = self._nodes[old]
             step = dict(node.step)
@@ -331,12 +334,41 @@ class Workspace:
                 if step.get(key) in rename:
                     step[key] = rename[step[key]]
             if "query" in step:
-                step["query"] = text(step["query"])
+                step["query"] = with_tables_renamed(self.spark, step["query"], rename)
             new = f"plot:{step['source']}" if node.kind == "plot" else rename[old]
             rename[old] = new
-            self._put(Node(new, node.kind, step, [rename.get(p, p) for p in node.parents]))
+            self._put(Node(new, node.kind, step, [rename.get(p, p) for p in node.parents]), record=False)
+        self._steps.append({"verb": "clone", "name": name, "suffix": suffix})
         return [rename[n] for n in names]
 
+    def edit(self, name: str, query: str, suffix: str | None = None) -> list[str]:
+        """Give a node another query; returns the nodes that are now to be run.
+
+        In place (no ``suffix``) the node is Empty and what stands on it Dirty.
+        With one, the node and its descendants are cloned and the copy edited;
+        the originals stay as they are.
+        """
+        if self[name].kind == "plot" or "query" not in self[name].step:
+            raise ValueError(f"{name} is not made by a query")
+        if suffix is not None:
+            copies = self.clone(name, suffix)
+            self.edit(copies[0], query)
+            return copies
+        node = self[name]
+        parents = self._known(references(self.spark, query), name)
+        if set(parents) & set(self._below(name)):
+            raise ValueError(f"{name} would read what is made from it")
+        if node.kind == "table":
+            made = split_ctas(node.step["query"])
+            text = f"CREATE {'OR REPLACE ' if made[1] == 'overwrite' else ''}TABLE {quoted(name)} AS {query}"
+            node.step = {**node.step, "query": text}
+        else:
+            self._view(name, query)
+            node.step = {**node.step, "query": query}
+        node.parents, node.status, node.rows, node.frozen, node.error = parents, EMPTY, None, False, None
+        self._steps.append({"verb": "edit", "name": name, "query": query})
+        return [name, *self._mark_below(name)]
+
     def nodes(self) -> DataFrame:
         rows = [
             (n.name, n.kind, n.parents, n.status, n.rows, n.seconds, n.last_run_at, n.frozen, json.dumps(n.step), n.error)
@@ -363,6 +395,7 @@ class Workspace:
         """A parameterised query.  Write ``:p`` for values and
         ``IDENTIFIER(:p)`` for tables and columns; both are bound, not pasted."""
         self._templates[name] = (sql, tuple(params))
+        self._steps.append({"verb": "template", "name": name, "sql": sql, "params": list(params)})
 
     def run_template(self, name: str, **args) -> DataFrame:
         sql, params = self._templates[name]
@@ -391,3 +424,97 @@ class Workspace:
                     raise ValueError(f"{step['table']} was saved from a DataFrame; import it before the replay")
             else:
                 getattr(self, verb)(**step)
+
+    # --- saving --------------------------------------------------------------------
+
+    def save(self, path: str) -> int:
+        """Write nodes, templates and steps as a new version below ``path``; returns
+        its number.  Data stays where it is: tables are named by their location.
+
+        A version appears whole or not at all, and earlier ones stay.  Of two
+        savers at once one gets an error.
+        """
+        version = (_versions(self.spark, path) or 0) + 1
+        records = [("workspace", json.dumps({"format": FORMAT, "location": self.location}))]
+        for node in self._nodes.values():
+            body = {**vars(node), "last_run_at": node.last_run_at and node.last_run_at.isoformat()}
+            records.append(("node", json.dumps({**body, "data": self._data_of(node)})))
+        for name, (sql, params) in self._templates.items():
+            records.append(("template", json.dumps({"name": name, "sql": sql, "params": params})))
+        records += [("step", json.dumps(step)) for step in self._steps]
+        rows = [(i, part, body) for i, (part, body) in enumerate(records)]
+        manifest = self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
+        manifest.write.mode("error").json(f"{path.rstrip('/')}/version={version}")
+        return version
+
+    def _data_of(self, node: Node) -> str | None:
+        """Where a saved table's files are."""
+        name = node.name if node.kind == "table" else self._frozen_name(node.name) if node.frozen else None
+        if name is None or not self.spark.catalog.tableExists(quoted(name)):
+            return None
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").where("col_name = 'Location'")
+        return described.head()["data_type"]
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Workspace:
+        """The workspace as it was saved, the newest version unless one is named.
+
+        Tables that the session's catalog does not know are attached from their
+        files.  A node whose files are gone is Empty, what stands on it Dirty.
+        """
+        version = version or _versions(spark, path)
+        if version is None:
+            raise FileNotFoundError(f"no workspace is saved in {path}")
+        rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{path.rstrip('/')}/version={version}").orderBy("ord").collect()
+        parts: dict[str, list[dict]] = {"workspace": [], "node": [], "template": [], "step": []}
+        for row in rows:
+            parts[row["part"]].append(json.loads(row["body"]))
+        about = parts["workspace"][0]
+        if about["format"] != FORMAT:
+            raise ValueError(f"saved in format {about['format']}, not {FORMAT}")
+        ws = cls(spark, about["location"])
+        ws._templates = {t["name"]: (t["sql"], tuple(t["params"])) for t in parts["template"]}
+        ws._steps = parts["step"]
+        where = {}
+        for body in parts["node"]:
+            where[body["name"]] = body.pop("data")
+            ran = body.pop("last_run_at")
+            ws._nodes[body["name"]] = Node(**body, last_run_at=ran and datetime.fromisoformat(ran))
+        for node in ws._in_order():
+            ws._attach(node, where[node.name])
+        return ws
+
+    def _attach(self, node: Node, data: str | None) -> None:
+        """Make a loaded node selectable by its name again."""
+        held = node.name if node.kind == "table" else self._frozen_name(node.name) if node.frozen else None
+        if held and not (data and self._attached(held, data)) and node.status != EMPTY:
+            node.status, node.rows, node.frozen = EMPTY, None, False
+            self._mark_below(node.name)
+            held = None
+        if node.kind == "query":
+            try:
+                self._view(node.name, f"SELECT * FROM {quoted(held)}" if held else node.step["query"])
+            except AnalysisException as problem:  # a parent's data is gone: run() makes both again
+                node.error = str(problem).splitlines()[0]
+
+    def _attached(self, name: str, data: str) -> bool:
+        if not self.spark.catalog.tableExists(quoted(name)):
+            if "." in name:
+                self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(name.rsplit('.', 1)[0])}")
+            try:
+                schema = self.spark.read.parquet(data).schema
+            except AnalysisException:
+                return False
+            self.spark.catalog.createTable(quoted(name), data, "parquet", schema)
+        return True
+
+
+def _versions(spark: SparkSession, path: str) -> int | None:
+    """The newest saved version below ``path``."""
+    try:
+        saved = spark.read.schema(f"{MANIFEST_SCHEMA}, version int").json(path.rstrip("/"))
+        return saved.agg({"version": "max"}).head()[0]
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
