@@ -161,8 +161,11 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
         "_from is not null and _to is not null"
     )
     # read once: every round joins it
-    step, _ = settle(step)
-    ways = step.withColumn("_steps", F.lit(1))
+    step, known = settle(step)
+    # what is known to be small stays in one task: a round is then one stage
+    small = known is not None
+    packed = lambda df: df.coalesce(1) if small else df
+    ways = packed(step.withColumn("_steps", F.lit(1)))
     start = spark.createDataFrame([(r,) for r in roots], f"node {kind}").select("node", F.lit(0).alias("depth"))
     frontier, _ = settle(start.distinct())
     seen, pointers, rounds = frontier, None, 0
@@ -172,21 +175,19 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
         # an int holds what thirty doublings reach
         if PLAIN_ROUNDS < rounds <= PLAIN_ROUNDS + 30:
             if pointers is None:
-                pointers, _ = settle(_pointers(step))
-            pointers, more = settle(_doubled(pointers))
+                pointers, _ = settle(packed(_pointers(step)))
+            pointers, more = settle(packed(_doubled(packed(pointers))))
             if more != 0:
-                longer = _shortcuts(pointers)
+                longer = packed(_shortcuts(pointers))
                 found = found.union(_reached(longer, seen))
-                ways = ways.union(longer)
-        known = seen.groupBy("node").agg(F.min("depth").alias("_known"))
-        fresh = (
-            found.groupBy("node").agg(F.min("depth").alias("depth")).join(known, "node", "left")
-            .where("_known is null or depth < _known").select("node", "depth")
-        )
-        frontier, count = settle(fresh)
+                ways = packed(ways.union(longer))
+        # one grouping: the least depth there was, and the least of all
+        now = seen.withColumn("_old", F.col("depth")).union(found.withColumn("_old", F.lit(None).cast("int")))
+        least = packed(now).groupBy("node").agg(F.min("depth").alias("depth"), F.min("_old").alias("_old"))
+        frontier, count = settle(least.where("_old is null or depth < _old").select("node", "depth"))
         if count == 0 or (count is None and frontier.isEmpty()):
             return seen.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0")
-        seen = seen.union(frontier)
+        seen = packed(seen.union(frontier))
         if rounds % 8 == 0:
             seen, _ = settle(seen.groupBy("node").agg(F.min("depth").alias("depth")))
 
