@@ -112,7 +112,8 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
         "_cell", shift(tick(point, points), F.col("_level"))
     )
     inside = (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
-    return looked.join(covered, ["_level", "_cell"]).where(inside).drop("_level", "_cell")
+    # both sides are many times their inputs, which Spark's sizes do not tell: broadcast neither
+    return looked.hint("merge").join(covered, ["_level", "_cell"]).where(inside).drop("_level", "_cell")
 
 
 def qualify(df: DataFrame, window: Column, predicate: str, name: str = "_q") -> DataFrame:
