@@ -1,6 +1,8 @@
 """What must hold on larger tables, shown on small ones."""
 
+from weftline.operators import logs
 from weftline.operators.relational import range_join
+from weftline.plans import ordered
 
 
 def test_range_join_broadcasts_no_exploded_side(spark):
@@ -11,3 +13,22 @@ def test_range_join_broadcasts_no_exploded_side(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     want = points.crossJoin(ranges).where("at BETWEEN lo AND hi")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shapes_of_many_skeletons_merge_as_others(spark):
+    lines = [f"a w{i % 12} w{i % 8} z{i}" for i in range(40)] + [f"b w{i} x" for i in range(8)] + [f"c w{i} <*>" for i in range(9)] + ["c", "d e"]
+    skeletons = logs._skeleton_counts(spark.createDataFrame([(x,) for x in lines], "line string"), "line")
+    assert skeletons.count() == len(lines)
+    for hot in (0, 20, None):
+        found = logs._wildcards(skeletons, 8, hot).collect()
+        assert sorted((r._len, r._first, sorted(r._wild)) for r in found) == [(3, "c", [1]), (4, "a", [1, 3])]
+
+
+def test_templates_are_not_made_twice_to_be_numbered(spark, monkeypatch):
+    made, counted = [], ordered.largest_key
+    monkeypatch.setattr(ordered, "largest_key", lambda df, by: made.append(by) or counted(df, by))
+    lines = spark.range(30).selectExpr("concat('user u', id, ' in') AS line")
+    for hot in (1, None):
+        out = logs.log_templates(lines, "line", hot_rows=hot).collect()
+        assert [tuple(r)[:3] for r in out] == [(1, "user <*> in", 30)]
+    assert made == []

@@ -48,14 +48,34 @@ def _shape(skel: str = "skeleton") -> list[Column]:
     return [F.size(tokens).alias("_len"), tokens[0].alias("_first")]
 
 
-def _wildcards(skeletons: DataFrame, distinct_limit: int) -> DataFrame:
-    """(_len, _first, _wild): the positions to blank out in each shape."""
-    tokens = skeletons.select(
-        "_len", "_first", F.posexplode(F.split(F.col("skeleton"), " ")).alias("_at", "_token")
-    ).where("_at > 0")
-    spread = tokens.groupBy("_len", "_first", "_at").agg(F.count_distinct("_token").alias("_d"))
-    # at most as many positions per shape as a line has tokens
-    return spread.where(F.col("_d") > distinct_limit).groupBy("_len", "_first").agg(F.collect_set("_at").alias("_wild"))
+# Shapes of more skeletons than this are compared token by token across tasks, so that
+# no task holds one; the others whole, where one shuffle of the skeletons is all it takes.
+HOT_SHAPE = 100_000
+# Templates from which on they are numbered by a distributed sort: rows are whole lines.
+SORTED_ROWS = 100_000
+
+
+def _wildcards(skeletons: DataFrame, distinct_limit: int, hot_shape: int | None = None) -> DataFrame:
+    """(_len, _first, _wild): the positions to blank out in each shape.
+
+    A position takes at most as many tokens as its shape has skeletons, so shapes of few
+    skeletons are not looked at.
+    """
+    hot = HOT_SHAPE if hot_shape is None else hot_shape
+    shape = ["_len", "_first"]
+    sizes = skeletons.groupBy(*shape).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > distinct_limit)
+    # merge: shuffled by shape, so that the groupings below need no shuffle of their own
+    some = skeletons.select(*shape, "skeleton").hint("merge").join(sizes.where(F.col("_size") <= hot).select(*shape), shape)
+    # fewer than skeletons / hot_shape
+    many = skeletons.select(*shape, "skeleton").join(F.broadcast(sizes.where(F.col("_size") > hot).select(*shape)), shape)
+
+    def wild(rows: DataFrame) -> DataFrame:
+        tokens = rows.select(*shape, F.posexplode(F.split(F.col("skeleton"), " ")).alias("_at", "_token")).where("_at > 0")
+        spread = tokens.groupBy(*shape, "_at").agg(F.count_distinct("_token").alias("_d"))
+        # at most as many positions per shape as a line has tokens
+        return spread.where(F.col("_d") > distinct_limit).groupBy(*shape).agg(F.collect_set("_at").alias("_wild"))
+
+    return wild(some).unionByName(wild(many))
 
 
 def _pattern() -> Column:
@@ -82,12 +102,15 @@ def _skeleton_counts(df: DataFrame, line: str) -> DataFrame:
 
 def _merged(skeletons: DataFrame, distinct_limit: int) -> DataFrame:
     wild = _wildcards(skeletons, distinct_limit)
-    return skeletons.join(wild, ["_len", "_first"], "left").select("skeleton", _pattern().alias("pattern"), "n", "example")
+    joined = skeletons.join(wild, ["_len", "_first"], "left")
+    return joined.select("skeleton", _pattern().alias("pattern"), "n", "example")
 
 
-def _numbered(mapping: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def _numbered(mapping: DataFrame, rows: int, hot_rows: int | None = None) -> DataFrame:
+    """``rows``: of the mapping, which are at least as many as there are templates."""
     merged = mapping.groupBy("pattern").agg(F.sum("n").alias("count"), F.min("example").alias("example"))
-    numbered = rank_rows(merged, [F.desc("count"), F.asc("pattern")], "template_id", hot_rows)
+    hot_rows = SORTED_ROWS if hot_rows is None else hot_rows
+    numbered = rank_rows(merged, [F.desc("count"), F.asc("pattern")], "template_id", hot_rows, rows)
     return numbered.select("template_id", "pattern", "count", "example")
 
 
@@ -98,7 +121,8 @@ def template_map(df: DataFrame, line: str, distinct_limit: int = 8) -> DataFrame
 
 def log_templates(df: DataFrame, line: str, distinct_limit: int = 8, *, hot_rows: int | None = None) -> DataFrame:
     """(template_id, pattern, count, example), ids by count desc then pattern."""
-    return _numbered(template_map(df, line, distinct_limit), hot_rows)
+    skeletons = _skeleton_counts(df, line)
+    return _numbered(_merged(skeletons, distinct_limit), skeletons.count(), hot_rows)
 
 
 def log_records(
@@ -109,8 +133,9 @@ def log_records(
     ``templates`` is the result of ``log_templates`` over the same lines; tokens
     blanked by merging are part of ``values`` too, in line order.
     """
-    mapping = template_map(df, line, distinct_limit)
-    ids = (templates if templates is not None else _numbered(mapping, hot_rows)).select("template_id", "pattern")
+    skeletons = _skeleton_counts(df, line)
+    mapping = _merged(skeletons, distinct_limit)
+    ids = (templates if templates is not None else _numbered(mapping, skeletons.count(), hot_rows)).select("template_id", "pattern")
     keyed = mapping.select("skeleton", "pattern").join(ids, "pattern")
     masked = with_skeleton(df.where(F.col(line).isNotNull()), line)
     joined = masked.join(keyed, "skeleton")

@@ -70,10 +70,11 @@ def positions(df: DataFrame, order: Sequence[str | Column], name: str = "pos") -
 
 
 def rank_rows(
-    df: DataFrame, order: Sequence[str | Column], name: str = "rn", hot_rows: int | None = None
+    df: DataFrame, order: Sequence[str | Column], name: str = "rn", hot_rows: int | None = None, rows: int | None = None
 ) -> DataFrame:
-    """``row_number()`` from 1 over the whole table."""
-    if _needs_split(df, [], hot_rows):
+    """``row_number()`` from 1 over the whole table.  ``rows``, where it is known how many
+    there are at most, saves making ``df`` once just to count it."""
+    if (rows if rows is not None else df.count()) > (HOT_ROWS if hot_rows is None else hot_rows):
         return positions(df, order, name).withColumn(name, F.col(name) + 1)
     return df.withColumn(name, F.row_number().over(_key_window([]).orderBy(*_columns(order))).cast("bigint"))
 
