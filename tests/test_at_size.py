@@ -1,6 +1,8 @@
 """What must hold on larger tables, shown on small ones."""
 
-from weftline.operators import logs
+import math
+
+from weftline.operators import logs, plotdata
 from weftline.operators.relational import range_join
 from weftline.plans import ordered
 
@@ -32,3 +34,15 @@ def test_templates_are_not_made_twice_to_be_numbered(spark, monkeypatch):
         out = logs.log_templates(lines, "line", hot_rows=hot).collect()
         assert [tuple(r)[:3] for r in out] == [(1, "user <*> in", 30)]
     assert made == []
+
+
+def test_line_layout_sorts_no_points(spark):
+    table = spark.range(500).selectExpr("id AS x", "sin(id / 20) AS a", "cos(id / 20) AS b")
+    out = plotdata.line_layout(plotdata.plot_series(table, "x", ["a", "b"], order=["x"]), 40, 10)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    cells = {(x, number): wave(x / 20) for number, wave in enumerate((math.sin, math.cos)) for x in range(500)}
+    low, high = min(cells.values()), max(cells.values())
+    want = {}
+    for (x, number), y in sorted(cells.items(), key=lambda c: c[0][1]):
+        want[7 - min(math.floor((y - low) / (high - low) * 7.0), 7), x * 31 // 499] = "●○"[number]
+    assert {(r.row, r.col): r.marker for r in out.collect()} == want

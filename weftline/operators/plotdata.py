@@ -99,13 +99,11 @@ def line_layout(series: DataFrame, width: int = 80, height: int = 20) -> DataFra
     col = F.when(F.col("_n") > 1, F.expr(f"ord * {cols - 1} div (_n - 1)")).otherwise(F.lit(cols // 2))
     step = F.floor((F.col("y") - F.lit(low)) / F.lit(spread) * F.lit(float(rows - 1)))
     row = F.lit(rows - 1) - F.least(step, F.lit(rows - 1))
-    marker = F.element_at(F.lit(list(MARKERS)), (F.col("series_no") % len(MARKERS) + 1).cast("int"))
-    cells = at.select(
-        row.cast("int").alias("row"), col.cast("int").alias("col"), marker.alias("_m"), F.struct("series_no", "ord").alias("_when")
-    )
-    return cells.where((F.col("col") >= 0) & (F.col("col") < cols)).groupBy("row", "col").agg(
-        F.max_by("_m", "_when").alias("marker")
-    )
+    # points of a series share its marker; a number is kept in a hashed grouping, which sorts nothing
+    cells = at.select(row.cast("int").alias("row"), col.cast("int").alias("col"), "series_no")
+    last = cells.where((F.col("col") >= 0) & (F.col("col") < cols)).groupBy("row", "col").agg(F.max("series_no").alias("_s"))
+    marker = F.element_at(F.lit(list(MARKERS)), (F.col("_s") % len(MARKERS) + 1).cast("int"))
+    return last.select("row", "col", marker.alias("marker"))
 
 
 def line_axis(series: DataFrame, height: int = 20) -> DataFrame:
