@@ -4,7 +4,7 @@ import math
 
 from weftline.operators import logs, plotdata
 from weftline.operators.relational import range_join
-from weftline.plans import ordered
+from weftline.plans import lineage, ordered
 
 
 def test_range_join_broadcasts_no_exploded_side(spark):
@@ -46,3 +46,21 @@ def test_line_layout_sorts_no_points(spark):
     for (x, number), y in sorted(cells.items(), key=lambda c: c[0][1]):
         want[7 - min(math.floor((y - low) / (high - low) * 7.0), 7), x * 31 // 499] = "●○"[number]
     assert {(r.row, r.col): r.marker for r in out.collect()} == want
+
+
+def test_large_levels_of_a_compact_tree_stay_off_the_driver(spark, monkeypatch):
+    keys = spark.range(1, 120).withColumnRenamed("id", "name")
+    edges = keys.where("name > 1").selectExpr("name AS child", "name div 2 AS parent")
+    edges = edges.union(edges.selectExpr("child", "least((child + 1) div 2, child - 1) AS parent")).distinct()
+    want = sorted(map(tuple, lineage.tree(keys, edges, compact=True).collect()))
+    settled, counts = lineage.settle, []
+
+    def settle(df, small_rows=0, large=False):
+        made, count = settled(df, min(small_rows, 4), large)
+        counts.append((large, count))
+        return made, count
+
+    monkeypatch.setattr(lineage, "settle", settle)
+    assert sorted(map(tuple, lineage.tree(keys, edges, compact=True).collect())) == want
+    # only the first level above the limit is asked for rows in vain, besides the edges
+    assert [count for large, count in counts if not large].count(None) == 2

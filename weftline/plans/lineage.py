@@ -117,6 +117,14 @@ def unknown_refs(refs: DataFrame, known: DataFrame, ref: str = "ref", name: str
 
 
 PLAIN_ROUNDS = 3
+# Rows that carry paths are long, so fewer of them come to the driver.
+SMALL_PATHS = 5_000
+
+
+def _kept(df: DataFrame, count: int | None) -> DataFrame:
+    """A settled ``df`` in a join: a large one, for which Spark may still have the size of
+    the table it comes from, is not broadcast."""
+    return df.hint("merge") if count is None else df
 
 
 def _pointers(step: DataFrame) -> DataFrame:
@@ -306,21 +314,21 @@ def tree(nodes: DataFrame, edges: DataFrame, compact: bool = False) -> DataFrame
     then at most as many as nodes and edges.
     """
     names = nodes.select(F.col("name").alias("node")).distinct()
-    known = edges.join(names.withColumnRenamed("node", "_p"), F.col("parent") == F.col("_p"), "left")
+    known = edges.join(names.withColumnRenamed("node", "_p").hint("merge"), F.col("parent") == F.col("_p"), "left")
     parents = known.groupBy(F.col("child").alias("node")).agg(
         F.count_if(F.col("_p").isNotNull()).alias("_known"), F.count_if(F.col("_p").isNull()).alias("_missing")
     )
-    placed = names.join(parents, "node", "left").na.fill(0, ["_known", "_missing"])
+    placed = names.join(parents.hint("merge"), "node", "left").na.fill(0, ["_known", "_missing"])
     note = F.when(F.col("_missing") > 0, "orphan").otherwise("")
     start = placed.where("_known = 0").select(
         F.array("node").alias("path"), "node", F.lit(0).alias("depth"), note.alias("note")
     )
-    step, _ = settle(known.where("_p is not null").select(F.col("child").alias("_c"), "parent").distinct())
-    level, _ = settle(start)
+    step, steps = settle(known.where("_p is not null").select(F.col("child").alias("_c"), "parent").distinct())
+    level, count = settle(start, SMALL_PATHS)
     listed, rounds = level, 0
     while True:
         rounds += 1
-        below = level.join(step, level["node"] == step["parent"]).where(~F.array_contains("path", F.col("_c")))
+        below = (F.broadcast(level) if count is not None else level.hint("merge")).join(step, F.col("node") == F.col("parent")).where(~F.array_contains("path", F.col("_c")))
         found = below.select(
             F.array_append("path", F.col("_c")).alias("path"),
             F.col("_c").alias("node"),
@@ -329,27 +337,28 @@ def tree(nodes: DataFrame, edges: DataFrame, compact: bool = False) -> DataFrame
         )
         if compact:
             # only where a node is met first do its own children follow
-            fresh = found.join(listed.select("node"), "node", "left_anti")
+            fresh = found.join(_kept(listed.select("node"), steps), "node", "left_anti")
             found = fresh.groupBy("node").agg(F.min_by(F.struct("path", "depth", "note"), "path").alias("_at")).select("_at.path", "node", "_at.depth", "_at.note")
-        level, count = settle(found)
+        # after a large level another is likely
+        level, count = settle(found, SMALL_PATHS, large=count is None)
         if count == 0 or (count is None and level.isEmpty()):
             break
         listed = listed.union(level)
         if rounds % 16 == 0:
-            listed, _ = settle(listed)
+            listed, _ = settle(listed, SMALL_PATHS, large=True)
     if compact:
-        listed, _ = settle(listed)
-        listed = listed.union(_further_parents(listed, step))
-    lost = names.join(listed.select("node").distinct(), "node", "left_anti").select(
+        listed, _ = settle(listed, SMALL_PATHS, large=True)
+        listed = listed.union(_further_parents(listed, step, steps))
+    lost = names.join(_kept(listed.select("node").distinct(), steps), "node", "left_anti").select(
         F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit("cycle").alias("note")
     )
     return listed.union(lost).orderBy("path").select(F.array_join(F.col("path").cast("array<string>"), " / ").alias("path"), "node", "depth", "note")
 
 
-def _further_parents(listed: DataFrame, step: DataFrame) -> DataFrame:
+def _further_parents(listed: DataFrame, step: DataFrame, steps: int | None) -> DataFrame:
     """One row for each edge that the listed tree leaves out, ways back up excepted."""
     home = listed.select(F.col("node").alias("_c"), F.col("path").alias("_home"))
-    under = listed.join(step, listed["node"] == step["parent"]).where(~F.array_contains("path", F.col("_c")))
-    rows = under.select(F.array_append("path", F.col("_c")).alias("path"), "_c", (F.col("depth") + 1).alias("depth")).join(home, "_c")
+    under = listed.join(_kept(step, steps), F.col("node") == F.col("parent")).where(~F.array_contains("path", F.col("_c")))
+    rows = under.select(F.array_append("path", F.col("_c")).alias("path"), "_c", (F.col("depth") + 1).alias("depth")).join(_kept(home, steps), "_c")
     see = F.concat(F.lit("see "), F.array_join(F.col("_home").cast("array<string>"), " / "))
     return rows.where("path != _home").select("path", F.col("_c").alias("node"), "depth", see.alias("note"))
