@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from weftline.sources import readers
 from weftline.sources.quoted import ends_inside
 from weftline.sources.readers import read
 from weftline.sources.writers import export
@@ -84,3 +85,16 @@ def test_quotes_within_plain_fields_open_nothing(spark, tmp_path):
 )
 def test_states(line, outside, inside):
     assert (ends_inside(line, False, ","), ends_inside(line, True, ",")) == (outside, inside)
+
+
+def test_types_of_the_body_are_found_out_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = [(i, f'line "{i}"\nand, more', i / 2) for i in range(50)]
+    spark.createDataFrame(rows, "k long, t string, x double").coalesce(1).write.option("header", "true").option("escape", '"').csv(path)
+    inferred, infer = [], readers._infer
+    monkeypatch.setattr(readers, "_infer", lambda reader, spark, lines: inferred.append(lines.count()) or infer(reader, spark, lines))
+    out = readers.read(spark, path, "csv")
+    assert [k for _, k in out.dtypes] == ["int", "string", "double"]
+    assert sorted(map(tuple, out.collect())) == rows
+    # the first line alone; the others' types are those of the result
+    assert inferred == [1]

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +46,18 @@ def ends_inside(line: str, inside: bool, sep: str) -> bool:
         at += len(sep)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[str]]]:
-    """((file, split), lines) in the order of the file, as they come."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[str], list[int]]]:
+    """((file, split), lines, the numbers of those with a quote) in the order of the file, as
+    they come."""
     for batch in batches:
-        files, splits, values = (c.to_pylist() for c in batch.columns)
-        start = 0
-        for i in range(1, len(values) + 1):
-            if i == len(values) or files[i] != files[start] or splits[i] != splits[start]:
-                yield (files[start], splits[start]), values[start:i]
-                start = i
+        files, splits, values = batch.columns
+        place = np.stack([files.to_numpy(), splits.to_numpy()])
+        edges = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if start < end:
+                lines = values.slice(start, end - start)
+                quoted = np.flatnonzero(pc.match_substring(lines, _QUOTE).to_numpy(zero_copy_only=False))
+                yield (files[start].as_py(), splits[start].as_py()), lines.to_pylist(), quoted.tolist()
 
 
 def _states(sep: str):
@@ -65,14 +70,14 @@ def _states(sep: str):
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"file": [place[0]], "split": [place[1]], "out": [out], "within": [within], "closed": [closed]})
 
-        for key, lines in _lines(batches):
+        for key, lines, quoted in _lines(batches):
             if key != place:
                 if place is not None:
                     yield row()
                 place, out, within, closed = key, False, True, False
-            for line in lines:
-                if _QUOTE in line:
-                    out, within = ends_inside(line, out, sep), ends_inside(line, within, sep)
+            # a line without a quote ends as it begins
+            for at in quoted:
+                out, within = ends_inside(lines[at], out, sep), ends_inside(lines[at], within, sep)
                 closed = closed or not within
         if place is not None:
             yield row()
@@ -86,19 +91,27 @@ def _cut(shared, sep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners: dict[tuple[int, int], int] = shared.value
         place, owner, inside, held = None, None, False, []
-        for key, lines in _lines(batches):
+        for key, lines, quoted in _lines(batches):
             rows = []
             if key != place:
                 if held:
                     rows.append((place[0], place[1] if owner is None else owner, place[1], "\n".join(held)))
                 place, owner, held = key, owners.get(key), []
                 inside = owner is not None
-            for line in lines:
-                held.append(line)
-                inside = ends_inside(line, inside, sep)
-                if not inside:
-                    rows.append((key[0], owner, key[1], "\n".join(held) if len(held) > 1 else line))
-                    owner, held = None, []
+            done = 0
+            for at in [*quoted, len(lines)]:
+                # up to the next quote, lines are records outside quotes and all of one inside
+                if inside:
+                    held += lines[done:at]
+                else:
+                    rows += [(key[0], None, key[1], line) for line in lines[done:at]]
+                done = at
+                if at < len(lines):
+                    held.append(lines[at])
+                    inside, done = ends_inside(lines[at], inside, sep), at + 1
+                    if not inside:
+                        rows.append((key[0], owner, key[1], "\n".join(held) if len(held) > 1 else lines[at]))
+                        owner, held = None, []
             yield _batch(rows)
         if held:
             yield _batch([(place[0], place[1] if owner is None else owner, place[1], "\n".join(held))])

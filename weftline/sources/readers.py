@@ -121,13 +121,19 @@ def _read_records(spark, paths, sep, header, schema, recursive) -> DataFrame:
         reader = reader.option("inferSchema", "true")
     if header is None:
         first = spark.createDataFrame([(head,)], "value string")
-        header = head is not None and _is_header(spark, first, head, rows.where(F.col("value") != head), sep)
+        rest = rows.where(F.col("value") != head)
+        # where there is a header, these are the rows and types to read: found out once
+        body = _parsed(spark, reader.option("header", "false"), rest) if head is not None else None
+        header = head is not None and _is_header(spark, first, head, rest, sep, body.dtypes)
+        if header and body.columns:
+            reader = reader.schema(body.schema)
     names = list(header) if isinstance(header, (list, tuple)) else None
     if header is True and head is not None:
         # every file repeats it
         rows = rows.where(F.col("value") != head)
         if schema is None:
-            names = _parsed(spark, reader.option("header", "true"), spark.createDataFrame([(head,)], "value string")).columns
+            titles = _csv(spark, sep, False).option("multiLine", "true").option("header", "true")
+            names = _parsed(spark, titles, spark.createDataFrame([(head,)], "value string")).columns
     out = _parsed(spark, reader.option("header", "false"), rows)
     if schema is not None:
         return out
@@ -152,12 +158,12 @@ def _has_header(spark, paths, sep, recursive) -> bool:
     return _is_header(spark, lines.limit(1), head[0], lines.where(F.col("value") != head[0]), sep)
 
 
-def _is_header(spark, first: DataFrame, head: str, rest: DataFrame, sep: str) -> bool:
+def _is_header(spark, first: DataFrame, head: str, rest: DataFrame, sep: str, body: list | None = None) -> bool:
     reader = _csv(spark, sep, False).option("inferSchema", "true")
     top = _infer(reader, spark, first)
     if rest.isEmpty():
         return all(kind == "string" for _, kind in top)
-    body = _infer(reader, spark, rest)
+    body = body or _infer(reader, spark, rest)
     if len(body) != len(top):
         return False
     typed = [(a, b) for (_, a), (_, b) in zip(top, body)]
