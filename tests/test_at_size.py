@@ -64,3 +64,18 @@ def test_large_levels_of_a_compact_tree_stay_off_the_driver(spark, monkeypatch):
     assert sorted(map(tuple, lineage.tree(keys, edges, compact=True).collect())) == want
     # only the first level above the limit is asked for rows in vain, besides the edges
     assert [count for large, count in counts if not large].count(None) == 2
+
+
+def test_large_rounds_of_a_walk_are_not_asked_for_rows_in_vain(spark, monkeypatch):
+    chain = spark.range(1, 150).selectExpr("id AS child", "id - 1 AS parent")
+    settled, counts = lineage.settle, []
+
+    def settle(df, small_rows=0, large=False):
+        made, count = settled(df, 4, large)
+        counts.append((large, count))
+        return made, count
+
+    monkeypatch.setattr(lineage, "settle", settle)
+    assert sorted(map(tuple, lineage.descendants(chain, 0).collect())) == [(i, i) for i in range(1, 150)]
+    # the edges, and the first round above the limit
+    assert [count for large, count in counts if not large].count(None) <= 2

@@ -136,10 +136,10 @@ def _pointers(step: DataFrame) -> DataFrame:
     return both.where("_next = _last and _next != _node").select("_side", "_node", "_next", F.lit(1).alias("_steps"))
 
 
-def _doubled(pointers: DataFrame) -> DataFrame:
+def _doubled(pointers: DataFrame, many: int | None) -> DataFrame:
     """Pointers twice as far, where the way goes on."""
     far = pointers.select("_side", F.col("_node").alias("_next"), F.col("_next").alias("_far"), F.col("_steps").alias("_more"))
-    return pointers.join(far, ["_side", "_next"]).select(
+    return pointers.join(_kept(far, many), ["_side", "_next"]).select(
         "_side", "_node", F.col("_far").alias("_next"), (F.col("_steps") + F.col("_more")).alias("_steps")
     )
 
@@ -176,31 +176,34 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
     ways = packed(step.withColumn("_steps", F.lit(1)))
     start = spark.createDataFrame([(r,) for r in roots], f"node {kind}").select("node", F.lit(0).alias("depth"))
     frontier, _ = settle(start.distinct())
-    seen, pointers, rounds = frontier, None, 0
+    seen, pointers, rounds, count = frontier, None, 0, 0
     while True:
         rounds += 1
-        found = _reached(ways, frontier)
+        found = _reached(ways, frontier, known, count)
         # an int holds what thirty doublings reach
         if PLAIN_ROUNDS < rounds <= PLAIN_ROUNDS + 30:
             if pointers is None:
-                pointers, _ = settle(packed(_pointers(step)))
-            pointers, more = settle(packed(_doubled(packed(pointers))))
+                pointers, more = settle(packed(_pointers(step)), large=not small)
+            pointers, more = settle(packed(_doubled(packed(pointers), more)), large=more is None)
             if more != 0:
                 longer = packed(_shortcuts(pointers))
-                found = found.union(_reached(longer, seen))
+                found = found.union(_reached(longer, seen, more, None))
                 ways = packed(ways.union(longer))
         # one grouping: the least depth there was, and the least of all
         now = seen.withColumn("_old", F.col("depth")).union(found.withColumn("_old", F.lit(None).cast("int")))
         least = packed(now).groupBy("node").agg(F.min("depth").alias("depth"), F.min("_old").alias("_old"))
-        frontier, count = settle(least.where("_old is null or depth < _old").select("node", "depth"))
+        frontier, count = settle(least.where("_old is null or depth < _old").select("node", "depth"), large=count is None)
         if count == 0 or (count is None and frontier.isEmpty()):
             return seen.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0")
         seen = packed(seen.union(frontier))
         if rounds % 8 == 0:
-            seen, _ = settle(seen.groupBy("node").agg(F.min("depth").alias("depth")))
+            seen, _ = settle(seen.groupBy("node").agg(F.min("depth").alias("depth")), large=count is None)
 
 
-def _reached(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+def _reached(ways: DataFrame, nodes: DataFrame, many: int | None, count: int | None) -> DataFrame:
+    """What ``nodes`` lead to; ``many`` ways and ``count`` nodes, None for large."""
+    if many is None:
+        nodes = nodes.hint("merge") if count is None else F.broadcast(nodes)
     ends = ways.join(nodes, F.col("_from") == F.col("node"))
     return ends.select(F.col("_to").alias("node"), (F.col("depth") + F.col("_steps")).alias("depth"))
 
