@@ -2,6 +2,7 @@
 
 import math
 
+from weftline import session
 from weftline.operators import logs, plotdata
 from weftline.operators.relational import range_join
 from weftline.plans import lineage, ordered
@@ -48,34 +49,34 @@ def test_line_layout_sorts_no_points(spark):
     assert {(r.row, r.col): r.marker for r in out.collect()} == want
 
 
+def limited(monkeypatch):
+    """The counts of what is settled by asking for its rows, with four rows as small."""
+    settle, settle_large, counts = session.settle, session.settle_large, []
+
+    def counted(df, *_):
+        made, count = settle(df, 4)
+        counts.append(count)
+        return made, count
+
+    monkeypatch.setattr(lineage, "settle", counted)
+    monkeypatch.setattr(lineage, "settle_large", lambda df, *_: settle_large(df, 4))
+    return counts
+
+
 def test_large_levels_of_a_compact_tree_stay_off_the_driver(spark, monkeypatch):
     keys = spark.range(1, 120).withColumnRenamed("id", "name")
     edges = keys.where("name > 1").selectExpr("name AS child", "name div 2 AS parent")
     edges = edges.union(edges.selectExpr("child", "least((child + 1) div 2, child - 1) AS parent")).distinct()
     want = sorted(map(tuple, lineage.tree(keys, edges, compact=True).collect()))
-    settled, counts = lineage.settle, []
-
-    def settle(df, small_rows=0, large=False):
-        made, count = settled(df, min(small_rows, 4), large)
-        counts.append((large, count))
-        return made, count
-
-    monkeypatch.setattr(lineage, "settle", settle)
+    counts = limited(monkeypatch)
     assert sorted(map(tuple, lineage.tree(keys, edges, compact=True).collect())) == want
     # only the first level above the limit is asked for rows in vain, besides the edges
-    assert [count for large, count in counts if not large].count(None) == 2
+    assert counts.count(None) == 2
 
 
 def test_large_rounds_of_a_walk_are_not_asked_for_rows_in_vain(spark, monkeypatch):
     chain = spark.range(1, 150).selectExpr("id AS child", "id - 1 AS parent")
-    settled, counts = lineage.settle, []
-
-    def settle(df, small_rows=0, large=False):
-        made, count = settled(df, 4, large)
-        counts.append((large, count))
-        return made, count
-
-    monkeypatch.setattr(lineage, "settle", settle)
+    counts = limited(monkeypatch)
     assert sorted(map(tuple, lineage.descendants(chain, 0).collect())) == [(i, i) for i in range(1, 150)]
     # the edges, and the first round above the limit
-    assert [count for large, count in counts if not large].count(None) <= 2
+    assert counts.count(None) <= 2

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import settle, spread
+from weftline.session import settle, settle_large, spread
 
 _PART = r"(?:\"[^\"]+\"|`[^`]+`|[A-Za-z_]\w*)"
 # atomic: once a whole name is read it is not shortened to please what follows
@@ -183,8 +183,8 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
         # an int holds what thirty doublings reach
         if PLAIN_ROUNDS < rounds <= PLAIN_ROUNDS + 30:
             if pointers is None:
-                pointers, more = settle(packed(_pointers(step)), large=not small)
-            pointers, more = settle(packed(_doubled(packed(pointers), more)), large=more is None)
+                pointers, more = (settle if small else settle_large)(packed(_pointers(step)))
+            pointers, more = (settle_large if more is None else settle)(packed(_doubled(packed(pointers), more)))
             if more != 0:
                 longer = packed(_shortcuts(pointers))
                 found = found.union(_reached(longer, seen, more, None))
@@ -192,12 +192,13 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
         # one grouping: the least depth there was, and the least of all
         now = seen.withColumn("_old", F.col("depth")).union(found.withColumn("_old", F.lit(None).cast("int")))
         least = packed(now).groupBy("node").agg(F.min("depth").alias("depth"), F.min("_old").alias("_old"))
-        frontier, count = settle(least.where("_old is null or depth < _old").select("node", "depth"), large=count is None)
+        fresh = least.where("_old is null or depth < _old").select("node", "depth")
+        frontier, count = (settle_large if count is None else settle)(fresh)
         if count == 0 or (count is None and frontier.isEmpty()):
             return seen.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0")
         seen = packed(seen.union(frontier))
         if rounds % 8 == 0:
-            seen, _ = settle(seen.groupBy("node").agg(F.min("depth").alias("depth")), large=count is None)
+            seen, _ = (settle_large if count is None else settle)(seen.groupBy("node").agg(F.min("depth").alias("depth")))
 
 
 def _reached(ways: DataFrame, nodes: DataFrame, many: int | None, count: int | None) -> DataFrame:
@@ -343,14 +344,14 @@ def tree(nodes: DataFrame, edges: DataFrame, compact: bool = False) -> DataFrame
             fresh = found.join(_kept(listed.select("node"), steps), "node", "left_anti")
             found = fresh.groupBy("node").agg(F.min_by(F.struct("path", "depth", "note"), "path").alias("_at")).select("_at.path", "node", "_at.depth", "_at.note")
         # after a large level another is likely
-        level, count = settle(found, SMALL_PATHS, large=count is None)
+        level, count = (settle_large if count is None else settle)(found, SMALL_PATHS)
         if count == 0 or (count is None and level.isEmpty()):
             break
         listed = listed.union(level)
         if rounds % 16 == 0:
-            listed, _ = settle(listed, SMALL_PATHS, large=True)
+            listed, _ = settle_large(listed, SMALL_PATHS)
     if compact:
-        listed, _ = settle(listed, SMALL_PATHS, large=True)
+        listed, _ = settle_large(listed, SMALL_PATHS)
         listed = listed.union(_further_parents(listed, step, steps))
     lost = names.join(_kept(listed.select("node").distinct(), steps), "node", "left_anti").select(
         F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit("cycle").alias("note")
