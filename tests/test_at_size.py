@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from weftline import session
 from weftline.operators import logs, plotdata
 from weftline.operators.relational import range_join
@@ -80,3 +82,30 @@ def test_large_rounds_of_a_walk_are_not_asked_for_rows_in_vain(spark, monkeypatc
     assert sorted(map(tuple, lineage.descendants(chain, 0).collect())) == [(i, i) for i in range(1, 150)]
     # the edges, and the first round above the limit
     assert counts.count(None) <= 2
+
+
+def test_rounds_of_a_walk_write_in_proportion_to_the_chain(spark, monkeypatch):
+    n, durable, written = 600, session.durable, []
+    for module in (session, lineage):
+        monkeypatch.setattr(module, "durable", lambda df: written.append((out := durable(df)).count()) or out, raising=False)
+    limited(monkeypatch)
+    chain = spark.range(1, n + 1).selectExpr("id AS child", "id - 1 AS parent")
+    assert sorted(map(tuple, lineage.descendants(chain, 0).collect())) == [(i, i) for i in range(1, n + 1)]
+    assert sum(written) < 10 * n
+
+
+# a chain with a branch, twigs, a diamond, a cycle beside it and one it leads into, ways back and repeats
+_ODD = [(i + 1, i) for i in range(30)] + [(100 + i, i % 30) for i in range(40)] + [(200, 12), (201, 12), (202, 200), (202, 201), (203, 202)]
+_ODD += [(301, 300), (302, 301), (300, 302), (400, 30), (401, 400), (402, 401), (400, 402), (5, 20), (0, 9), (7, 7), (25, 3), (500, 501), (3, 500)]
+
+
+@pytest.mark.parametrize("roots", [(0,), (2, 12, 7)])
+def test_odd_graphs_above_the_limit(spark, monkeypatch, roots):
+    limited(monkeypatch)
+    edges = spark.createDataFrame([(f"n{c}", f"n{p}") for c, p in _ODD * 3] + [("n1", None), (None, "n0")], "child string, parent string")
+    depth, level = dict.fromkeys(roots, 0), set(roots)
+    while level:
+        level = {c for c, p in _ODD if p in level} - set(depth)
+        depth |= dict.fromkeys(level, max(depth.values()) + 1)
+    got = lineage.descendants(edges, *(f"n{r}" for r in roots)).collect()
+    assert sorted(map(tuple, got)) == sorted((f"n{node}", d) for node, d in depth.items() if d)

@@ -1,20 +1,24 @@
 """The lineage graph as two DataFrames, and operators over it.
 
-nodes(name, kind, status, command, ...) and edges(child, parent).  Walks go in
-rounds: a join of the frontier with the edges, less what was seen, and edges that
-get longer round by round where the graph is a chain or a tree.  Each round is
-written to the shared folder, so the plan stays short and a lost executor costs
-one round at most; a small round stays a local relation instead.
+nodes(name, kind, status, command, ...) and edges(child, parent).  A small
+graph is walked in one task.  A large one is made smaller first, chains and twigs
+left out round by round; what remains large is walked in rounds: a join of the
+frontier with the edges, less what was seen, and edges that get longer round by
+round.  Each round is written to the shared folder, so the plan stays short and a
+lost executor costs one round at most; a small round stays a local relation instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import settle, settle_large, spread
+from weftline.session import durable, settle, settle_large, spread
 
 _PART = r"(?:\"[^\"]+\"|`[^`]+`|[A-Za-z_]\w*)"
 # atomic: once a whole name is read it is not shortened to please what follows
@@ -130,10 +134,11 @@ def _kept(df: DataFrame, count: int | None) -> DataFrame:
 def _pointers(step: DataFrame) -> DataFrame:
     """(_side, _node, _next, _steps): the only way into a node (side 0) and the
     only way out of one (side 1), where there is just one."""
-    inward = step.groupBy(F.col("_to").alias("_node")).agg(F.min("_from").alias("_next"), F.max("_from").alias("_last"))
-    outward = step.groupBy(F.col("_from").alias("_node")).agg(F.min("_to").alias("_next"), F.max("_to").alias("_last"))
+    nearest = F.min("_steps").alias("_steps")
+    inward = step.groupBy(F.col("_to").alias("_node")).agg(F.min("_from").alias("_next"), F.max("_from").alias("_last"), nearest)
+    outward = step.groupBy(F.col("_from").alias("_node")).agg(F.min("_to").alias("_next"), F.max("_to").alias("_last"), nearest)
     both = inward.withColumn("_side", F.lit(0)).unionByName(outward.withColumn("_side", F.lit(1)))
-    return both.where("_next = _last and _next != _node").select("_side", "_node", "_next", F.lit(1).alias("_steps"))
+    return both.where("_next = _last and _next != _node").select("_side", "_node", "_next", "_steps")
 
 
 def _doubled(pointers: DataFrame, many: int | None) -> DataFrame:
@@ -154,33 +159,154 @@ def _shortcuts(pointers: DataFrame) -> DataFrame:
     )
 
 
+# A round that leaves out fewer than one in so many edges of a large graph is the last.
+LEAST_SHARE = 12
+
+
+def _contracted(step: DataFrame, roots: Sequence) -> tuple[DataFrame, int | None, list[DataFrame]]:
+    """``step``, large, without most of its chains, twigs and dead ends, and how many edges
+    that is (None for many); also what each round left out, (_node, _in, _steps): a node,
+    the only one before it and the way from there.
+
+    A node with one way in and one out becomes an edge past it, one with one way in and
+    none out goes with its edge; of two neighbours only that of the lesser hash, so the
+    node before stays for the round.  What only nodes with no way in lead to is not
+    reached.  Each round writes what is left, so all rounds write in proportion to the graph.
+    """
+    kind = dict(step.dtypes)["_from"]
+    roots = [r for r in roots if r is not None]
+    none, fixed = F.lit(None).cast(kind), lambda c: F.col(c).isin(roots) if roots else F.lit(False)
+    # a way into a root or from a node to itself shortens none
+    step, known = durable(step.where((F.col("_from") != F.col("_to")) & ~fixed("_to")).distinct()), None
+    many, gone = step.count(), []
+    one_in, one_out = F.col("_in") == F.col("_in2"), F.col("_out") == F.col("_out2")
+    while known is None:
+        ends = step.select(F.inline(F.array(
+            F.struct(F.col("_to").alias("_node"), F.col("_from").alias("_in"), none.alias("_out"), "_steps"),
+            F.struct(F.col("_from").alias("_node"), none.alias("_in"), F.col("_to").alias("_out"), "_steps"),
+        )))
+        each = ends.groupBy("_node").agg(
+            F.min("_in").alias("_in"), F.max("_in").alias("_in2"), F.min(F.expr("if(_in is null, null, _steps)")).alias("_steps"),
+            F.min("_out").alias("_out"), F.max("_out").alias("_out2"), F.min(F.expr("if(_out is null, null, _steps)")).alias("_more"),
+        )
+        rank = lambda c: F.xxhash64(c, F.lit(len(gone)))
+        less = lambda c: rank("_node") < rank(c)
+        inner = one_in & one_out & less("_in") & less("_out")
+        twig = one_in & F.col("_out").isNull() & less("_in")
+        unmet = F.col("_in").isNull() & one_out
+        out = durable(each.where((inner | twig | unmet) & ~fixed("_node")).select("_node", "_in", "_steps", "_out", "_more"))
+        left_out = out.count()
+        if left_out * LEAST_SHARE < many:
+            break
+        many -= left_out
+        gone.append(out.where("_in is not null").select("_node", "_in", "_steps"))
+        # zero steps: the edge is gone
+        zero = F.lit(0).cast("long").alias("_steps")
+        edits = out.select(F.inline(F.array(
+            F.struct(F.col("_in").alias("_from"), F.col("_node").alias("_to"), zero),
+            F.struct(F.col("_node").alias("_from"), F.col("_out").alias("_to"), zero),
+            F.struct(F.col("_in").alias("_from"), F.col("_out").alias("_to"), (F.col("_steps") + F.col("_more")).alias("_steps")),
+        )))
+        now = step.union(edits.where("_from != _to")).groupBy("_from", "_to").agg(F.min("_steps").alias("_steps"))
+        step, known = settle_large(now.where("_steps > 0"))
+    return step, known, gone
+
+
+def _expanded(seen: DataFrame, gone: list[DataFrame]) -> DataFrame:
+    """``seen`` (node, depth) and the nodes left out that it leads to."""
+    seen, count = settle_large(seen)
+    for rounds, out in enumerate(reversed(gone), 1):
+        back = out.hint("merge").join(_kept(seen, count), F.col("_in") == F.col("node"))
+        met, count = settle_large(back.select(F.col("_node").alias("node"), (F.col("depth") + F.col("_steps")).alias("depth")))
+        seen, count = seen.union(met), None
+        if rounds % 8 == 0:
+            seen, count = settle_large(seen)
+    return seen
+
+
+# Kinds of nodes whose equal values are equal in every language.
+_NAMES = ("string", "binary", "tinyint", "smallint", "int", "bigint", "date")
+
+
+def _least_depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, depth) of edges (_from, _to, _steps) that all are in one task; a null _from
+    marks a root."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    edges = pa.Table.from_batches(batches)
+    ends = pa.chunked_array(edges["_from"].chunks + edges["_to"].chunks).combine_chunks().dictionary_encode()
+    code = ends.indices.fill_null(-1).to_numpy().astype(np.int64)
+    begin, end, steps = code[: edges.num_rows], code[edges.num_rows :], edges["_steps"].to_numpy()
+    order = np.argsort(begin, kind="stable")
+    first = np.searchsorted(begin[order], np.arange(len(ends.dictionary) + 1)).tolist()
+    end, steps = end[order].tolist(), steps[order].tolist()
+    depth: dict[int, int] = {}
+    ahead = [(0, root) for root in end[: first[0]]]
+    while ahead:
+        far, node = heappop(ahead)
+        if node not in depth:
+            depth[node] = far
+            for at in range(first[node], first[node + 1]):
+                if end[at] not in depth:
+                    heappush(ahead, (far + steps[at], end[at]))
+    yield pa.RecordBatch.from_arrays(
+        [ends.dictionary.take(pa.array(list(depth), pa.int64())), pa.array(depth.values(), pa.int64())], names=["node", "depth"]
+    )
+
+
 def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> DataFrame:
     """(node, depth) of all that the roots lead to, at its least depth.
 
-    The first rounds take one generation each.  From then on each round also
-    doubles pointers along nodes with one way in or one way out and walks the
-    longer edges so made, so a chain of n nodes takes about log2(n) rounds.  A
-    node found again by a shorter way goes on from there once more; nothing is
-    left to walk when no depth falls any further.
+    A small graph is walked in one task.  On a large one the first rounds take one
+    generation each; if they do not exhaust it, chains, twigs and dead ends are left out
+    until what remains is small or little more goes, the rest is walked, and what was
+    left out follows from the nodes before it.
     """
     spark = edges.sparkSession
-    kind = dict(edges.dtypes)[source]
+    kinds = dict(edges.dtypes)
+    kind, plain = kinds[source], kinds[source] == kinds[target] and kinds[source] in _NAMES
     step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where(
         "_from is not null and _to is not null"
     )
     # read once: every round joins it
     step, known = settle(step)
-    # what is known to be small stays in one task: a round is then one stage
+    step = step.withColumn("_steps", F.lit(1).cast("long"))
+    start = spark.createDataFrame([(r,) for r in roots], f"node {kind}").where("node is not null").distinct()
+    start, _ = settle(start.select("node", F.lit(0).cast("long").alias("depth")))
+    seen, gone = None, []
+    if plain and known is None:
+        seen = _walked(step, start, known, PLAIN_ROUNDS)
+        if seen is None:
+            step, known, gone = _contracted(step, roots)
+    if seen is None and plain and known is not None:
+        begins = start.select(F.lit(None).cast(kind).alias("_from"), F.col("node").alias("_to"), F.col("depth").alias("_steps"))
+        seen = step.union(begins).coalesce(1).mapInArrow(_least_depths, f"node {kind}, depth long")
+    if seen is None:
+        seen = _walked(step, start, known)
+    if gone:
+        seen = _expanded(seen, gone)
+    return seen.where("depth > 0").select("node", F.col("depth").cast("int").alias("depth"))
+
+
+def _walked(step: DataFrame, start: DataFrame, known: int | None, most: int | None = None) -> DataFrame | None:
+    """(node, depth) of all that ``start`` leads to, in rounds; None if ``most`` rounds do
+    not exhaust it.
+
+    After the first rounds each also doubles pointers along nodes with one way in or one
+    way out and walks the longer edges so made, so a chain of n nodes takes about log2(n)
+    rounds.  A node found again by a shorter way goes on from there once more; nothing is
+    left to walk when no depth falls any further.
+    """
     small = known is not None
+    # what is known to be small stays in one task: a round is then one stage
     packed = lambda df: df.coalesce(1) if small else df
-    ways = packed(step.withColumn("_steps", F.lit(1)))
-    start = spark.createDataFrame([(r,) for r in roots], f"node {kind}").select("node", F.lit(0).alias("depth"))
-    frontier, _ = settle(start.distinct())
-    seen, pointers, rounds, count = frontier, None, 0, 0
-    while True:
+    ways, frontier, seen = packed(step), start, start
+    pointers, rounds, count = None, 0, 0
+    while rounds != most:
         rounds += 1
         found = _reached(ways, frontier, known, count)
-        # an int holds what thirty doublings reach
+        # a long holds what thirty doublings reach
         if PLAIN_ROUNDS < rounds <= PLAIN_ROUNDS + 30:
             if pointers is None:
                 pointers, more = (settle if small else settle_large)(packed(_pointers(step)))
@@ -190,15 +316,16 @@ def _closure(edges: DataFrame, roots: Sequence, source: str, target: str) -> Dat
                 found = found.union(_reached(longer, seen, more, None))
                 ways = packed(ways.union(longer))
         # one grouping: the least depth there was, and the least of all
-        now = seen.withColumn("_old", F.col("depth")).union(found.withColumn("_old", F.lit(None).cast("int")))
+        now = seen.withColumn("_old", F.col("depth")).union(found.withColumn("_old", F.lit(None).cast("long")))
         least = packed(now).groupBy("node").agg(F.min("depth").alias("depth"), F.min("_old").alias("_old"))
         fresh = least.where("_old is null or depth < _old").select("node", "depth")
         frontier, count = (settle_large if count is None else settle)(fresh)
         if count == 0 or (count is None and frontier.isEmpty()):
-            return seen.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0")
+            return seen.groupBy("node").agg(F.min("depth").alias("depth"))
         seen = packed(seen.union(frontier))
         if rounds % 8 == 0:
             seen, _ = (settle_large if count is None else settle)(seen.groupBy("node").agg(F.min("depth").alias("depth")))
+    return None
 
 
 def _reached(ways: DataFrame, nodes: DataFrame, many: int | None, count: int | None) -> DataFrame:
